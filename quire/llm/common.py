@@ -85,7 +85,9 @@ def chunks(batches, text: str = "text", most: int = CHUNK_BYTES):
 
 
 def gathered(batches, schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_batches(list(batches), schema) if not isinstance(batches, pa.Table) else batches
+    """All rows of a partition."""
+    found = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(found) if found else schema.empty_table()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, suffix_array_dedup
+from . import byte_bpe, fingerprints, quality_rules, simhash, substring_dedup, suffix_array_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_cdc_fingerprints": fingerprints.op3_cdc_fingerprints,
     "op4_suffix_array_dedup": suffix_array_dedup.op4_suffix_array_dedup,
+    "op5_warc": warc.op5_warc,
+    "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+    "op7_simhash": simhash.op7_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE}

@@ -24,9 +24,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Rolling, chunks, flat, mix, signed, sliding_min, spread, squeeze, unsqueeze, word_hash, words, written
+from .common import CHUNK_BYTES, Rolling, chunks, flat, gathered, mix, signed, sliding_min, spread, squeeze, unsqueeze, word_hash, words, written
 
 PART = 40
 AT = (1 << PART) - 1
@@ -159,8 +158,8 @@ def phrases(docs: DataFrame, w: Windows) -> DataFrame:
 
 
 def columns(batches, schema: pa.Schema) -> list[np.ndarray]:
-    t = pa.Table.from_batches(list(batches), schema)
-    return [t.column(f.name).to_numpy() if not pa.types.is_binary(f.type) else t.column(f.name) for f in schema]
+    t = gathered(batches, schema)
+    return [t.column(name).to_numpy() for name in schema.names]
 
 
 def dictionary(found: DataFrame, w: Windows) -> DataFrame:
@@ -293,10 +292,7 @@ def removed(docs: DataFrame, w: Windows, compare) -> DataFrame:
     asked = written(dictionary(phrases(docs, w), w))
 
     def run(batches):
-        whole = [b for b in batches if b.num_rows]
-        if not whole:
-            return
-        t = pa.Table.from_batches(whole, TEXT)
+        t = gathered(batches, TEXT)
         g, key, doc, pos, n, d = (t.column(c).to_numpy() for c in TEXT.names[:-1])
         said = d == GONE
         if said.any():
