@@ -44,13 +44,11 @@ def exact_tokens(c) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """Light stem: the first prefix that leaves two letters goes, then suffixes in turn while two letters stay."""
-    cut = word
-    for p in reversed(PREFIXES):
-        least = len(p) + (3 if p == "و" else 2)
-        cut = F.when(word.startswith(p) & (F.length(word) >= least), F.substring(word, F.lit(len(p) + 1), F.length(word))).otherwise(cut)
+    """Light stem: a prefix that leaves two letters goes (three after a lone conjunction), then suffixes in turn while two stay."""
+    long = "|".join(PREFIXES[:-1])
+    cut = F.regexp_replace(word, f"^(?:(?:{long})(?=.{{2}})|{PREFIXES[-1]}(?=.{{3}}))", "")
     for s in SUFFIXES:
-        cut = F.when(cut.endswith(F.lit(s)) & (F.length(cut) >= len(s) + 2), F.substring(cut, F.lit(1), F.length(cut) - len(s))).otherwise(cut)
+        cut = F.regexp_replace(cut, f"(?<=.{{2}}){s}$", "")
     return cut
 
 
@@ -250,7 +248,7 @@ def relative_age(seconds: Column) -> Column:
 
 def page_list(c) -> Column:
     """STR-29: '1-20,25' as sorted distinct numbers; what is no number or range is dropped."""
-    parts = F.filter(F.transform(F.split(_col(c), ","), F.trim), lambda p: p.rlike(r"^\d{1,9}(\s*-\s*\d{1,9})?$"))
+    parts = F.filter(F.transform(F.split(_col(c), ","), lambda x: F.trim(x)), lambda p: p.rlike(r"^\d{1,9}(\s*-\s*\d{1,9})?$"))
     ends = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(\d+)", 1).cast("int").alias("a"), F.regexp_extract(p, r"(\d+)$", 1).cast("int").alias("b")))
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(ends, lambda e: e.a <= e.b), lambda e: F.sequence(e.a, e.b)))))
 
@@ -258,7 +256,7 @@ def page_list(c) -> Column:
 def csv_values(*columns) -> Column:
     """FIL-13: values of the first column that is not blank, trimmed, without blanks and repeats, in order."""
     first = F.coalesce(*[F.nullif(F.trim(_col(c)), F.lit("")) for c in columns])
-    return F.array_distinct(F.filter(F.transform(F.split(first, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(first, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def fixed_pages(c, size: int = 2000) -> Column:
@@ -323,7 +321,7 @@ def markdown_source(c) -> Column:
 
 def tags_valid(c, most: int = 16, length: int = 32) -> Column:
     """STR-31: tags trimmed, blanks and repeats out; null where there are too many or one is too long."""
-    tags = F.array_distinct(F.filter(F.transform(_col(c), F.trim), lambda t: t != ""))
+    tags = F.array_distinct(F.filter(F.transform(_col(c), lambda x: F.trim(x)), lambda t: t != ""))
     return F.when((F.size(tags) <= most) & F.forall(tags, lambda t: F.length(t) <= length), tags)
 
 

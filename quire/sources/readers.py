@@ -35,7 +35,7 @@ def mined_metadata(rows: DataFrame) -> DataFrame:
     def values(*keys: str) -> Column:
         first = F.coalesce(*[F.nullif(F.trim(F.try_element_at("metadata", F.lit(k))), F.lit("")) for k in keys])
         parts = F.when(first.contains(";"), F.split(first, ";")).otherwise(F.split(first, ","))
-        return F.array_distinct(F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), F.trim), lambda x: x != ""))
+        return F.array_distinct(F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""))
     return rows.withColumns({"authors": values("dc:creator", "Author", "meta:author", "creator"), "categories": values("meta:keyword", "Keywords", "dc:subject", "subject")})
 
 
