@@ -28,9 +28,10 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT = 50, 50
 
 #: Least standard deviation of each feature: log words, characters a word, log symbols per 1000 words, and the square
-#: roots of the shares of repeated lines and of words in repeated windows.
+#: roots of the shares of repeated lines (four lines added, as one repeat says little in a short text) and of words in
+#: repeated windows.
 FEATURES = ("f0", "f1", "f2", "f3", "f4")
-FLOORS = (0.5, 0.3, 0.8, 0.1, 0.08)
+FLOORS = (0.5, 0.3, 0.8, 0.15, 0.15)
 SHARE, STEPS, LEAST = 0.75, 4, 60
 #: The 0.999999 quantile of chi square with five degrees of freedom, and that of SHARE; the latter sets MCD's scale.
 CUTOFF, HALF = 35.89, 6.626
@@ -109,7 +110,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.log1p(F.col("n_words").cast("double")),
         F.col("word_chars") / words_or_1,
         F.log1p(1000.0 * F.col("n_symbols") / words_or_1),
-        F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
+        F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + 4)),
         F.sqrt(F.col("n_repeat_words") / words_or_1),
     ]
     return own.mapInArrow(run, STATS_DDL).select("*", failed.alias("base_failed"), *(f.alias(c) for f, c in zip(features, FEATURES, strict=True)))
