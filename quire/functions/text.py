@@ -329,3 +329,40 @@ def pinned_valid(c, most: int = 10, text: int = 2000, label: int = 120) -> Colum
     """STR-31: pinned passages struct<page, text, label> with page above 0 and a text, cut to length; at most `most`."""
     good = F.filter(_col(c), lambda p: (p.page > 0) & (F.trim(p.text) != ""))
     return F.slice(F.transform(good, lambda p: F.struct(p.page.alias("page"), F.substring(p.text, 1, text).alias("text"), F.substring(p.label, 1, label).alias("label"))), 1, most)
+
+
+def marked_tokens(c, most: int = 24) -> Column:
+    """STR-20: the first `most` different words between highlight marks, folded, in order."""
+    marked = F.regexp_extract_all(_col(c), F.lit("(?s)<mark>(.*?)</mark>"), F.lit(1))
+    return F.slice(F.array_distinct(F.flatten(F.transform(marked, lambda m: exact_tokens(m)))), 1, most)
+
+
+#: Kinds of match from the strongest to the weakest.
+KINDS = ["exact", "lexical", "semantic"]
+
+
+def match_kind(kind, lexical, semantic) -> Column:
+    """STR-21: the stated kind if it is known, else lexical or semantic by the score that there is."""
+    return F.when(_col(kind).isin(KINDS), _col(kind)).when(F.coalesce(_col(lexical), F.lit(0.0)) > 0, "lexical").when(F.coalesce(_col(semantic), F.lit(0.0)) > 0, "semantic").otherwise("lexical")
+
+
+#: A few function words of each language, for a guess at a text's language.
+PROFILES = {
+    "ar": ["في", "من", "على", "الى", "عن"],
+    "de": ["der", "die", "und", "das", "nicht", "von", "zu"],
+    "en": ["the", "of", "and", "to", "that", "is", "with"],
+    "es": ["el", "los", "las", "y", "una", "por", "con"],
+    "fr": ["le", "les", "des", "et", "une", "est", "dans"],
+}
+
+
+def _member(values: list[str]):
+    return lambda w: w.isin(values)
+
+
+def language(c) -> Column:
+    """STR-25, a stand-in for a detector: the language with most of its function words in the text, null without any."""
+    words = tokens(c)
+    hits = [F.struct(F.size(F.filter(words, _member(p))).alias("n"), F.lit(code).alias("code")) for code, p in PROFILES.items()]
+    best = F.array_max(F.array(*hits))
+    return F.when(best.n > 0, best.code)

@@ -16,7 +16,7 @@ from ..operators import extraction as ext
 from ..operators import filters as fil
 from ..operators import geometry as geo
 from ..operators import joins as jon
-from ..operators import kb, linking
+from ..operators import kb, linking, lookups
 from ..operators import retrieval as ret
 from ..operators import versioning as dml
 from ..operators import windows as win
@@ -903,3 +903,59 @@ def alphabetical_order(spark):
 def unparseable_sources(spark):
     t = rows(spark, "raw string", "728 هـ", "القرن الخامس", "")
     return fil.unparseable(t, "raw", D.death_year("raw")).select(F.lit("bad").alias("label"), F.col("unparseable").alias("n"))
+
+
+# Lookups.
+
+
+@known("phrase_id long, year_from int, year_to int", (1, 170, 193), (2, None, None))
+def regnal_periods(spark):
+    t = rows(spark, "phrase_id long, phrase string", (1, "في خلافة هارون الرشيد"), (2, "في زمن قديم"))
+    p = rows(spark, "ord int, ruler string, year_from int, year_to int", (2, "هارون", 1, 2), (1, "هارون الرشيد", 170, 193))
+    return lookups.regnal_years(t, p).drop("phrase")
+
+
+@known("name string", ("مصر",), ("مصر العليا",))
+def region_search(spark):
+    return lookups.regions(rows(spark, "name string", "مصر العليا", "الشام", "مصر"), "مصر")
+
+
+@known("kind string, n long", ("exact", 1), ("semantic", 1), ("lexical", 1))
+def match_kind_counts(spark):
+    return lookups.kind_counts(rows(spark, "match_kind string, lexical_score double, semantic_score double", ("exact", 1.0, 0.2), (None, 0.0, 0.7), (None, 0.3, 0.7)))
+
+
+@known("n int, words string", (0, "fox,hen"))
+def marked_token_list(spark):
+    return rows(spark, "t string", "a <mark>Fox</mark> b <mark>hen</mark> <mark>fox</mark>").select(F.lit(0).alias("n"), joined(T.marked_tokens("t")).alias("words"))
+
+
+@known("t string, code string", ("the end of it", "en"), ("der und die", "de"), ("123", None))
+def language_guesses(spark):
+    return rows(spark, "t string", "the end of it", "der und die", "123").select("t", T.language("t").alias("code"))
+
+
+@known("block string, seq int, text string, x1 double", ("b", 0, "one", 2.0), ("b", 1, "two", 4.0))
+def recognised_words(spark):
+    j = '{"regions":[{"id":"b","lines":[{"bbox":[0,0,9,9],"words":[{"text":"one","bbox":[0,0,2,1],"conf":0.9},{"text":" ","bbox":[0,0,2,1],"conf":0.9},{"text":"two","bbox":[3,0,4,1],"conf":0.8}]}]}]}'
+    return lookups.recognised_words(rows(spark, "page_id long, answer string", (1, j)))
+
+
+@known("doc_id long, content string, author string", (1, "text", "A"))
+def service_texts(spark):
+    j = '{"content":" text ","metadata":{"Author":"A"}}'
+    out = lookups.extracted_text(rows(spark, "doc_id long, answer string", (1, j), (2, '{"content":" "}')))
+    return out.withColumn("author", F.try_element_at("metadata", F.lit("Author")))
+
+
+@known("doc_id long", (2,))
+def unseen_documents(spark):
+    return lookups.unseen(rows(spark, "doc_id long", 1, 2), rows(spark, "doc_id long", 1), ["doc_id"])
+
+
+@known("doc_id long, length double, alike boolean", (1, 1.0, True), (2, 1.0, True))
+def hashed_embeddings(spark):
+    v = lookups.hashed_vectors(rows(spark, "doc_id long, text string", (1, "one two two"), (2, "Two one two")))
+    both = v.select(F.col("doc_id").alias("o"), F.col("embedding").alias("e"))
+    out = v.join(both, v.doc_id != both.o)
+    return out.select("doc_id", (F.floor(V.norm("embedding") * 1e6 + 0.5) / 1e6).alias("length"), (V.cosine("embedding", "e") > 0.999).alias("alike"))

@@ -1,6 +1,10 @@
+import os
+
 import pytest
 from pyspark.sql import SparkSession
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # the session's threads share the cores
+
 
 @pytest.fixture(scope="session")
 def spark():
