@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_id, chunks, doc_key, table
 
@@ -114,8 +115,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", offsets: bool = True)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names)
 
     out = docs.drop("ids", "starts")
-    ddl = out.schema.add("ids", "array<int>")
-    ddl = ddl.add("starts", "array<int>") if offsets else ddl
+    ddl = T.StructType(list(out.schema))
+    for name, _ in kind:
+        ddl = ddl.add(name, T.ArrayType(T.IntegerType()))
     return out.withColumn("__text", F.col(text).cast("string")).mapInArrow(run, ddl)
 
 
@@ -129,7 +131,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.decode(errors="replace") for r in raw], pa.string()), pa.array(raw, pa.binary())], [*b.schema.names, "decoded", "raw"])
 
     own = tokens.drop("decoded", "raw")
-    return own.mapInArrow(run, own.schema.add("decoded", "string").add("raw", "binary"))
+    return own.mapInArrow(run, T.StructType(list(own.schema)).add("decoded", "string").add("raw", "binary"))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, as_id, keyed, table
+from .common import Rolling, as_id, doc_key, keyed, table
 from .repeats import Windows, by_document, differs, phrase_windows, removed
 
 KEPT = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
@@ -75,11 +75,9 @@ def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their repeats removed; a document of which no word is left goes, one that lost none keeps its text as it was."""
-    from .common import doc_key
-
-    done = substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id"), "kept")
-    done = done.groupBy(doc_key().alias("doc")).agg(F.first("kept").alias("kept"))
-    out = docs.withColumn("__doc", doc_key()).join(done, F.col("__doc") == F.col("doc"), "left")
-    out = out.withColumn("text", F.coalesce("kept", "text")).where("kept IS NULL OR kept <> ''")
+    """Documents with their repeats removed; a document of which no word is left goes, one that lost none keeps its text as it was.
+    Rows that share a doc_id get the text of one of them where any of them lost words."""
+    done = substring_dedup(docs).where("n_removed > 0").groupBy(doc_key().alias("__id")).agg(F.first("kept").alias("__kept"))
+    out = docs.withColumn("__doc", doc_key()).join(done, F.col("__doc") == F.col("__id"), "left")
+    out = out.withColumn("text", F.coalesce("__kept", "text")).where("__kept IS NULL OR __kept <> ''")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
