@@ -75,6 +75,27 @@ def bm25(posts: DataFrame, query: list[str], keep: DataFrame | None = None, need
     return (out.where(f"matched = {len(wanted)}") if need_all else out).drop("matched")
 
 
+def bm25_scan(docs: DataFrame, query: list[str], column: str = "content", analysis: str = "raw", keep: Column | None = None, need_all: bool = False) -> DataFrame:
+    """LEX-04 without an index: (doc_id, score) of one field by two passes over the texts, with nothing shuffled but one row
+    of statistics. Words are counted inside each document, so no row is made for a word."""
+    wanted = sorted(set(query))
+    t = docs.select("doc_id", (F.lit(True) if keep is None else keep).alias("_keep"), ANALYSES[analysis](column).alias("_t"))
+    t = t.select("doc_id", "_keep", F.size("_t").alias("_dl"), *[F.size(F.filter("_t", _equals(w))).alias(f"_f{i}") for i, w in enumerate(wanted)])
+    n = F.count_if(F.col("_dl") > 0)
+    stats = t.agg(n.alias("_n"), (F.sum("_dl") / n).alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(wanted))])
+    found, score = F.lit(need_all), F.lit(0.0)
+    for i in range(len(wanted)):
+        f, d = F.col(f"_f{i}"), F.col(f"_d{i}")
+        idf = F.log(1 + (F.col("_n") - d + 0.5) / (d + 0.5))
+        score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))).otherwise(0.0)
+        found = (found & (f > 0)) if need_all else (found | (f > 0))
+    return t.where(found & F.coalesce(F.col("_keep"), F.lit(False))).join(F.broadcast(stats)).select("doc_id", score.alias("score"))
+
+
+def _equals(word: str):
+    return lambda t: t == word
+
+
 def best_fields(scores: DataFrame, boosts: dict[str, float] = BOOSTS) -> DataFrame:
     """LEX-01: the best boosted field of each document."""
     boost = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in boosts.items() for x in p]), F.col("field")), F.lit(1.0))

@@ -278,19 +278,23 @@ SIX = "floor(score * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS score"
 
 @query(f"WITH {TOKENS}, {scored(['the', 'with'])} SELECT doc_id, {SIX} FROM s")
 def bm25_scores(spark, d):
+    return ret.bm25_scan(documents(spark, d), ["the", "with"], "text").select("doc_id", six("score"))
+
+
+@query(f"WITH {TOKENS}, {scored(['the', 'with'])} SELECT doc_id, {SIX} FROM s")
+def bm25_from_postings(spark, d):
     return ret.best_fields(ret.bm25(posts(spark, d), ["the", "with"])).select("doc_id", six("score"))
 
 
 @query(f"WITH {TOKENS}, {scored(['the', 'with'])} SELECT doc_id, {SIX} FROM s JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY s.score DESC, doc_id LIMIT 20")
 def bm25_language_topk(spark, d):
-    keep = fil.by_values(documents(spark, d), "lang", ["en"])
-    best = ret.best_fields(ret.bm25(posts(spark, d), ["the", "with"], keep))
+    best = ret.bm25_scan(documents(spark, d), ["the", "with"], "text", keep=F.col("lang").isin("en"))
     return win.top(best, [F.desc("score"), "doc_id"], 20, 200).select("doc_id", six("score"))
 
 
 @query(f"WITH {TOKENS}, {scored(['of', 'the', 'that'], True)} SELECT doc_id, {SIX} FROM s")
 def bm25_all_words(spark, d):
-    return ret.best_fields(ret.bm25(posts(spark, d), ["of", "the", "that"], need_all=True)).select("doc_id", six("score"))
+    return ret.bm25_scan(documents(spark, d), ["of", "the", "that"], "text", need_all=True).select("doc_id", six("score"))
 
 
 def has(word):
@@ -373,14 +377,14 @@ HYBRID = f"""{TOKENS}, {scored(['the', 'with'])}, {Q0}, k AS (SELECT vec_id AS d
 
 @query(f"""WITH {HYBRID} SELECT doc_id, {six_sql("0.60::DOUBLE * coalesce(score, 0) / (SELECT max(score) FROM s) + 0.40::DOUBLE * coalesce(sem, 0) / (SELECT max(sem) FROM k)", 'score')} FROM s FULL JOIN k USING (doc_id)""")
 def hybrid_blend(spark, d):
-    lexical = ret.best_fields(ret.bm25(posts(spark, d), ["the", "with"])).withColumnRenamed("score", "lexical_score")
+    lexical = ret.bm25_scan(documents(spark, d), ["the", "with"], "text").withColumnRenamed("score", "lexical_score")
     near = ret.knn(table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), vec(spark, d), 100)
     return ret.blended(lexical, near).select("doc_id", six("score"))
 
 
 @query(f"""WITH {HYBRID} SELECT doc_id, {six_sql("score / (SELECT max(score) FROM s)", 'score')} FROM s""")
 def hybrid_lexical_only(spark, d):
-    lexical = ret.best_fields(ret.bm25(posts(spark, d), ["the", "with"])).withColumnRenamed("score", "lexical_score")
+    lexical = ret.bm25_scan(documents(spark, d), ["the", "with"], "text").withColumnRenamed("score", "lexical_score")
     return ret.blended(lexical, None).select("doc_id", six("score"))
 
 
