@@ -83,13 +83,15 @@ def bm25_scan(docs: DataFrame, query: list[str], column: str = "content", analys
     t = t.select("doc_id", "_keep", F.size("_t").alias("_dl"), *[F.size(F.filter("_t", _equals(w))).alias(f"_f{i}") for i, w in enumerate(wanted)])
     n = F.count_if(F.col("_dl") > 0)
     stats = t.agg(n.alias("_n"), (F.sum("_dl") / n).alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(wanted))])
-    found, score = F.lit(need_all), F.lit(0.0)
+    score, every = F.lit(0.0), F.lit(True)
     for i in range(len(wanted)):
         f, d = F.col(f"_f{i}"), F.col(f"_d{i}")
         idf = F.log(1 + (F.col("_n") - d + 0.5) / (d + 0.5))
         score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))).otherwise(0.0)
-        found = (found & (f > 0)) if need_all else (found | (f > 0))
-    return t.where(found & F.coalesce(F.col("_keep"), F.lit(False))).join(F.broadcast(stats)).select("doc_id", score.alias("score"))
+        every = every & (f > 0)
+    # The test is on the score, which needs the statistics: on the counts it would be pushed down and count words twice.
+    out = t.where(F.coalesce(F.col("_keep"), F.lit(False))).join(F.broadcast(stats))
+    return out.select("doc_id", (F.when(every, score) if need_all else score).alias("score")).where("score > 0")
 
 
 def _equals(word: str):
