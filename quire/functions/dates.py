@@ -12,6 +12,7 @@ MAX_PLAUSIBLE, GREGORIAN_CUTOFF, MAX_YEAR = 1600, 1500, 2200
 UNKNOWN = ["دت", "تغم", "مجهول", "غيرمعروف", "nd", "unknown", ""]
 #: Words before a year that say nothing about it.
 NOISE = "نحو|حوالي|حوالى|تقريبا|تقريبًا|بعد|قبل|سنة|توفي|توفى|المتوفى|circa|ca\\.|c\\.|~"
+#: Era marks after a year.
 HIJRI_MARK = r"(?:هـ|ﻫ|ه(?![\p{L}\p{N}_])|هجري(?:ة)?|A\.?\s?H\.?(?![A-Za-z])|H(?![A-Za-z]))"
 GREGORIAN_MARK = r"(?:م(?![\p{L}\p{N}_])|ميلادي(?:ة)?|C\.?E\.?(?![A-Za-z])|A\.?D\.?(?![A-Za-z]))"
 
