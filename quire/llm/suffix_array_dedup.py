@@ -29,7 +29,7 @@ KEPT_DDL = "doc long, n_bytes long, n_removed long, n_spans long, kept binary, k
 
 
 def windows(size: int = 200) -> Windows:
-    return Windows("byte", size, gram=max(1, size * 3 // 25), first=False)
+    return Windows("byte", size, gram=max(1, size * 3 // 25), first=False, chunk=2 << 20)
 
 
 def suffix_array(w: Windows, key, doc, pos, n, d, text):
