@@ -26,6 +26,8 @@ from .common import as_id, chunks, doc_key, gathered, signed, spread, table, wri
 # A-Z to a-z; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = 32
+#: Fingerprints that are met in parts, at most.
+PARTED = 2000
 
 
 def _hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,10 +192,15 @@ def components(edges: DataFrame) -> DataFrame:
 def simhash_near_dups(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs."""
     prints = written(fingerprints(docs, width))
-    vertices = written(prints.groupBy("fp").agg(F.min("doc").alias("lead")))
+    vertices = written(prints.groupBy("fp").agg(F.min("doc").alias("lead"), F.count("*").alias("n")))
     found = components(links(vertices, bits)).select("a.fp", F.col("b.lead").alias("component"))
-    belongs = vertices.join(found, "fp", "left").select("fp", F.coalesce("component", "lead").alias("component"))
-    return prints.join(belongs, "fp").select(as_id(), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), as_id("component").alias("component_id"))
+    belongs = vertices.join(found, "fp", "left").select("fp", "n", F.coalesce("component", "lead").alias("component"))
+    # A fingerprint that very many rows have is met in several parts. There are at most PARTED such fingerprints.
+    most = max(1000, prints.count() // PARTED)
+    parted = F.broadcast(vertices.where(F.col("n") > most).select("fp", F.ceil(F.col("n") / most).cast("int").alias("k")))
+    rows = prints.join(parted, "fp", "left").select("doc", "fp", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("k")), F.lit(0)).cast("int").alias("part"))
+    copies = belongs.select("fp", "component", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > most, F.ceil(F.col("n") / most) - 1).otherwise(0).cast("int"))).alias("part"))
+    return rows.join(copies, ["fp", "part"]).select(as_id(), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), as_id("component").alias("component_id"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
