@@ -7,8 +7,8 @@ text's chunk digests, each with its length: hex of ten bytes a chunk (digest, le
 of a fingerprint to another is the share, by length, of its chunks that the other has (containment); an empty text is
 like an empty one only.
 
-The query needs each document's successor by doc_id. Documents go to ranges of ids (bounds from quantiles of the ids, as
-many as partitions) and the first document of a range also to the range before, so no window over the whole table is
+The query needs each document's successor by doc_id. Documents go to ranges of ids (bounds from quantiles of the ids, four
+for each partition) and the first document of a range also to the range before, so no window over the whole table is
 needed. A null doc_id comes first; rows of one doc_id follow each other by a hash of their text. Null texts are empty. A
 single row is its own successor. Only doc_id and text are read.
 """
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import NULL_ID, Rolling, as_id, chunks, doc_key, mix, spread, squeeze, table, unsqueeze
 from .repeats import BYTE
@@ -117,12 +118,13 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(own.hex(), pa.string())], [*b.schema.names[:-1], "fingerprint"])
 
     out = docs.drop("fingerprint")
-    return out.withColumn("__text", F.col("text").cast("string").cast("binary")).mapInArrow(run, out.schema.add("fingerprint", "string"))
+    return out.withColumn("__text", F.col("text").cast("string").cast("binary")).mapInArrow(run, T.StructType(list(out.schema)).add("fingerprint", "string"))
 
 
 def successors(docs: DataFrame) -> DataFrame:
     """(bucket, tail, doc, th, text): documents by range of ids, sorted within partitions; tail rows belong to the next range."""
-    n = spread(docs.sparkSession)
+    parts = spread(docs.sparkSession)
+    n = 4 * parts  # several ranges a task, so that tasks are alike
     own = docs.select(doc_key().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bounds = np.array(sorted({int(q) for q in own.where(f"doc > {NULL_ID}").approxQuantile("doc", [k / n for k in range(1, n)], 0.2 / n)} if n > 1 else set()), np.int64)
 
@@ -134,7 +136,7 @@ def successors(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([doc[bucket == k].min()], pa.int64())], ["bucket", "doc"])
 
     least = own.select("doc").mapInArrow(lowest, "bucket int, doc long").groupBy("bucket").agg(F.min("doc").alias("doc"))
-    least = sorted((r.bucket, r.doc) for r in least.collect())  # a row for each range, of which there are as many as partitions
+    least = sorted((r.bucket, r.doc) for r in least.collect())  # a row for each range
     before = {doc: least[k - 1][0] for k, (_, doc) in enumerate(least)}
     firsts = np.array([doc for _, doc in least], np.int64)
 
@@ -149,7 +151,7 @@ def successors(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(tail), b.column("doc").take(take), b.column("th").take(take), blob.take(take)], ["bucket", "tail", "doc", "th", "text"])
 
     dealt = own.select("doc", F.xxhash64("text").alias("th"), "text").mapInArrow(deal, "bucket int, tail int, doc long, th long, text binary")
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "tail", "doc", "th")
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", "doc", "th")
 
 
 OUT = pa.schema([("doc", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
