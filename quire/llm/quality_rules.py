@@ -7,7 +7,8 @@ median absolute deviations as a start, concentration steps take mean and covaria
 its Mahalanobis distance passes ``CUTOFF``. Variances have the floors in ``FLOORS``, so that statistics which are the
 same in nearly every document (no symbols, no repeated lines) do not turn a small departure into an outlier.
 
-Groups of fewer than ``LEAST`` passing documents are estimated with their language, and failing that with all documents.
+Groups of fewer than ``LEAST`` passing documents are judged by the estimate of all passing documents of their language,
+and failing that (fewer than ``LEAST`` there, too) by that of all passing documents.
 Null texts are empty and fail the limits; null languages and sources are groups of their own. Only doc_id, text, lang
 and source are read. Repeated rows count as often as they come and each get their row. Without any passing document
 there is nothing to estimate, and none is kept.
@@ -117,13 +118,16 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def grouped(stats: DataFrame) -> DataFrame:
-    """stats with g, the group that a document's estimate is made of."""
-    name = F.to_json(F.struct("lang", "source"))
+    """stats with g, the group whose estimate judges a document, and feeds, the groups whose estimates it is part of."""
     counts = written(stats.where("NOT base_failed").groupBy("lang", "source").count())
-    langs = counts.groupBy("lang").agg(F.sum("count").alias("in_lang"))
+    langs = written(counts.groupBy("lang").agg(F.sum("count").alias("in_lang"), F.min("count").alias("least")))
+    rare = (langs.agg(F.min("in_lang")).first()[0] or 0) < LEAST  # some language is judged by all documents
     way = counts.join(langs.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")))
-    g = F.when(F.col("count") >= LEAST, name).when(F.col("in_lang") >= LEAST, F.to_json(F.struct("lang"))).otherwise("")
-    way = way.select(F.col("lang").alias("l"), F.col("source").alias("s"), g.alias("g"))
+    own, in_lang = F.to_json(F.struct("source", "lang"), {"ignoreNullFields": "false"}), F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})
+    large, spoken = F.col("count") >= LEAST, F.col("in_lang") >= LEAST
+    g = F.when(large, own).when(spoken, in_lang).otherwise("")
+    feeds = F.array_compact(F.array(F.when(large, own), F.when(spoken & (F.col("least") < LEAST), in_lang), F.lit("" if rare else None).cast("string")))
+    way = way.select(F.col("lang").alias("l"), F.col("source").alias("s"), g.alias("g"), feeds.alias("feeds"))
     return stats.join(way, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
 
 
@@ -178,7 +182,7 @@ def estimates(vectors: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2) for each row of docs."""
     stats = written(grouped(written(statistics(docs))))
-    found = estimates(stats.where("NOT base_failed").select("g", *FEATURES))
+    found = estimates(stats.where("NOT base_failed").select(F.explode("feeds").alias("g"), *FEATURES))
     # Documents of a group that has no estimate failed the limits, as no passing document shares their group.
     out = stats.join(found, "g", "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= CUTOFF)

@@ -70,3 +70,43 @@ def test_distances_and_outliers(spark):
     want = brute_mcd(x)
     assert np.allclose([d[i] for i in range(len(x))], want, rtol=0.02, atol=0.05)
     assert min(want[:400]) > q.CUTOFF and np.mean(want[400:] > q.CUTOFF) < 0.001
+
+
+def test_small_groups_are_judged_by_their_language_or_all(spark):
+    rng = np.random.default_rng(11)
+    plain = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 100 + i)) for i in range(90)]
+    odd = [" ".join(f"#$%&|<>{x}#$%&|<>" for x in rng.integers(0, 5000, 100 + i)) for i in range(6)]
+    texts = [*plain, *odd, *plain[:3]]
+    langs = ["en"] * 90 + ["en"] * 3 + ["xx", None, "en"] + ["en", "xx", None]
+    sources = ["big"] * 90 + ["few", "few", "lone", "few", None, None] + ["few", "few", "few"]
+    out = by_id(q.quality_rules(documents(spark, texts, langs=langs, sources=sources)))
+    assert not any(r.base_failed for r in out.values())
+    assert {i for i, r in out.items() if not r.kept} == set(range(90, 96))
+
+
+def test_fallback_estimates_are_of_all_documents(spark):
+    rng = np.random.default_rng(5)
+    rows = [("en", "a")] * 70 + [("en", None)] * 65 + [("en", "b")] * 4 + [("de", "a")] * 3 + [(None, "a")] * 2
+    x = rng.normal(size=(len(rows), 5)) * [0.6, 0.3, 0.5, 0.05, 0.05] + [6, 5, 1, 0.1, 0.1]
+    x[:70] += [0, 3, 0, 0, 0]
+    frame = spark.createDataFrame([(i, *k, False, *map(float, v)) for i, (k, v) in enumerate(zip(rows, x, strict=True))], "i long, lang string, source string, base_failed boolean, f0 double, f1 double, f2 double, f3 double, f4 double")
+    stats = q.grouped(frame)
+    found = q.estimates(stats.selectExpr("explode(feeds) AS g", *q.FEATURES))
+    d = {r.i: r.d for r in stats.join(found, "g").select("i", q._distance().alias("d")).collect()}
+    spans = {range(0, 70): x[:70], range(70, 135): x[70:135], range(135, 139): x[:139], range(139, 144): x}
+    for span, own in spans.items():
+        want = brute_mcd_of(own, x[span.start : span.stop])
+        assert np.allclose([d[i] for i in span], want, rtol=0.02, atol=0.05)
+
+
+def brute_mcd_of(x, points):
+    """brute_mcd's distances of points by the estimate of x."""
+    floors = np.square(q.FLOORS)
+    # percentile_approx takes the lower of two middle values.
+    m = np.sort(x, axis=0)[(len(x) + 1) // 2 - 1]
+    p = np.diag(1 / ((1.4826 * np.sort(abs(x - m), axis=0)[(len(x) + 1) // 2 - 1]) ** 2 + floors))
+    for _ in range(q.STEPS):
+        d = np.einsum("ni,ij,nj->n", x - m, p, x - m)
+        near = x[d <= np.sort(d)[int(np.ceil(q.SHARE * len(d))) - 1]]
+        m, p = near.mean(axis=0), np.linalg.inv(np.cov(near.T, bias=True) / q.SHRUNK + np.diag(floors))
+    return np.einsum("ni,ij,nj->n", points - m, p, points - m)
