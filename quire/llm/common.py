@@ -45,6 +45,17 @@ def doc_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
 
 
+def text_key() -> Column:
+    """Hash of a row's text, as keyed() has it: with doc_key() it tells rows apart that share an id, or have none."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def met(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs joined with keys (doc, th, other columns) by doc key and text; the columns __doc and __th stay."""
+    own = docs.withColumns({"__doc": doc_key(), "__th": text_key()})
+    return own.join(keys.withColumnsRenamed({"doc": "__doc", "th": "__th"}), ["__doc", "__th"], how)
+
+
 def as_id(col: str = "doc") -> Column:
     return F.nullif(F.col(col), F.lit(NULL_ID)).alias("doc_id")
 

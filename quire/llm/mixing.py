@@ -4,8 +4,8 @@ Documents are counted in cells of source, language and topic. The token weights
 that the sums by source, by language and by topic meet their targets, ``ROUNDS`` times over. Default targets temper the
 shares that the marginals have (share to the power ``TEMPER``, made to sum to one). A cell's documents are then sampled
 with one probability, the cell's ratio of raked to own tokens times a constant, at most 1; the constant is chosen so that
-the tokens expected are ``KEEP`` of all. Which documents go is decided by a hash of their id, so it does not depend on
-how rows are dealt out.
+the tokens expected are ``KEEP`` of all. Which documents go is decided by a hash of their id, and of their text if
+they have no id, so it does not depend on how rows are dealt out.
 
 Cells are few, so up to ``CELLS`` of them are raked by numpy on the driver; beyond, the same steps run as aggregations
 over a written table. The topic of a document is the form of its text (``topic``), unless a column is given. Nulls are
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_id, doc_key, table, written
+from .common import NULL_ID, as_id, doc_key, met, table, text_key, written
 
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS, TEMPER, KEEP, CELLS = 30, 0.7, 0.85, 200_000
@@ -119,9 +119,9 @@ def _raked_by_tables(cells: DataFrame, targets: dict[str, dict], keep: float) ->
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP, topics: str | None = None, seed: int = 17, cells_on_driver: int = CELLS) -> DataFrame:
-    """(doc, source, lang, topic, n_tokens, weight, probability, selected) for each row of docs."""
+    """(doc, th, source, lang, topic, n_tokens, weight, probability, selected) for each row of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(doc_key().alias("doc"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"), text.alias("text"), *([F.col(topics).cast("string").alias("topic")] if topics else []))
+    own = docs.select(doc_key().alias("doc"), text_key().alias("th"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"), text.alias("text"), *([F.col(topics).cast("string").alias("topic")] if topics else []))
     if not topics:
         own = own.withColumn("topic", topic(F.col("text"), F.col("n_tokens")))
     own = written(own.drop("text"))
@@ -132,9 +132,10 @@ def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float =
     meet = F.lit(True)
     for d in DIMENSIONS:
         meet = meet & F.col(d).eqNullSafe(F.col(f"{d}_"))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc")), 11) / F.lit(float(1 << 53))
+    draw = F.when(F.col("doc") == NULL_ID, F.xxhash64(F.lit(seed), F.col("doc"), F.col("th"))).otherwise(F.xxhash64(F.lit(seed), F.col("doc")))
+    u = F.shiftrightunsigned(draw, 11) / F.lit(float(1 << 53))
     out = own.join(F.broadcast(found) if few else found, meet)
-    return out.withColumn("selected", u < F.col("probability")).select("doc", *DIMENSIONS, "n_tokens", "weight", "probability", "selected")
+    return out.withColumn("selected", u < F.col("probability")).select("doc", "th", *DIMENSIONS, "n_tokens", "weight", "probability", "selected")
 
 
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
@@ -147,7 +148,5 @@ def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sampled documents. Rows that share a doc_id go together if one of them is not sampled."""
-    out = mixed(docs).groupBy("doc").agg(F.every("selected").alias("ok")).where("NOT ok").select(F.col("doc").alias("__out"))
-    own = docs.withColumn("__doc", doc_key())
-    return own.join(out, F.col("__doc") == F.col("__out"), "left_anti").select(*docs.columns)
+    """The sampled documents. Rows alike in doc_id and text go together if one of them is not sampled."""
+    return met(docs, mixed(docs).where("NOT selected").select("doc", "th").distinct(), "left_anti").select(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, as_id, chunks, doc_key, flat, mix, table, word_hash, words, written
+from .common import Rolling, as_id, chunks, doc_key, flat, met, mix, table, text_key, word_hash, words, written
 from .repeats import BYTE
 
 #: Fixed values of the rules: symbols, least words, most per cent of words in repeated three-word windows.
@@ -39,8 +39,8 @@ CUTOFF, HALF = 35.89, 6.626
 #: P(chi square with seven degrees <= HALF): the nearest SHARE have so much less variance than all.
 SHRUNK = 0.531 / SHARE
 
-STATS = pa.schema([("doc", pa.int64()), ("lang", pa.string()), ("source", pa.string())] + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")])
-STATS_DDL = "doc long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+STATS = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("lang", pa.string()), ("source", pa.string())] + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")])
+STATS_DDL = "doc long, th long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
 
 def _sums(marks: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -102,9 +102,9 @@ def statistics(docs: DataFrame) -> DataFrame:
         for b in chunks(batches):
             buf, off = flat(b.column("text"))
             cols = text_stats(buf, off)
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("lang"), b.column("source"), *(pa.array(c.astype(np.int64)) for c in cols)], STATS.names)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("th"), b.column("lang"), b.column("source"), *(pa.array(c.astype(np.int64)) for c in cols)], STATS.names)
 
-    own = docs.select(doc_key().alias("doc"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = docs.select(doc_key().alias("doc"), text_key().alias("th"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     words_or_1 = F.greatest(F.col("n_words"), F.lit(1))
     features = [
@@ -179,14 +179,19 @@ def estimates(vectors: DataFrame) -> DataFrame:
     return now
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2) for each row of docs."""
+def judged(docs: DataFrame) -> DataFrame:
+    """(doc, th), the statistics, kept and distance2 for each row of docs."""
     stats = written(grouped(written(statistics(docs))))
     found = estimates(stats.where("NOT base_failed").select(F.explode("feeds").alias("g"), *FEATURES))
     # Documents of a group that has no estimate failed the limits, as no passing document shares their group.
     out = stats.join(found, "g", "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= CUTOFF)
-    return out.select(as_id(), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2")
+    return out.withColumn("kept", kept)
+
+
+def quality_rules(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2) for each row of docs."""
+    return judged(docs).select(as_id(), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -194,7 +199,5 @@ def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep; rows that share a doc_id go together if one of them is rejected."""
-    rejected = quality_rules(docs).groupBy(doc_key().alias("__bad")).agg(F.every("kept").alias("__kept")).where("NOT __kept")
-    own = docs.withColumn("__doc", doc_key())
-    return own.join(rejected, F.col("__doc") == F.col("__bad"), "left_anti").select(*docs.columns)
+    """The documents that the rules keep; rows alike in doc_id and text go together if one of them is rejected."""
+    return met(docs, judged(docs).where("NOT kept").select("doc", "th").distinct(), "left_anti").select(*docs.columns)

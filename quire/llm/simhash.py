@@ -18,10 +18,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_id, chunks, doc_key, gathered, signed, spread, table, written
+from .common import as_id, chunks, doc_key, gathered, met, signed, spread, table, text_key, written
 
 # A-Z to a-z; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -64,15 +64,17 @@ def _majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc, fp): doc key and 64-bit fingerprint of each row."""
+def fingerprints(docs: DataFrame, width: int = 3, **more: Column) -> DataFrame:
+    """(doc, fp): doc key and 64-bit fingerprint of each row; and more columns, of type long."""
+    names = ["doc", *more]
 
     def run(batches):
         for b in chunks(batches):
             texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(signed(_majority(*_hashes(texts, width))))], ["doc", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(signed(_majority(*_hashes(texts, width))))], [*names, "fp"])
 
-    return docs.select(doc_key().alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, fp long")
+    own = docs.select(doc_key().alias("doc"), *(c.alias(k) for k, c in more.items()), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def trie_join(fps: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,8 +210,11 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id (one of its rows, if it has several).
+    """One document of each group of near copies: that with the smallest doc_id, and of its texts in the group's least
+    fingerprint that of the smallest hash (one of its rows, if several are alike in both).
     Groups are op7's: few edited copies at a 5-word similarity of 0.8 are among them; README has the measured recall."""
-    groups = simhash_near_dups(docs).where("doc_id <=> component_id").select(doc_key().alias("__lead"))
-    own = docs.withColumn("__doc", doc_key())
-    return own.join(groups, F.col("__doc") == F.col("__lead"), "left_semi").dropDuplicates(["__doc"]).select(*docs.columns)
+    prints = fingerprints(docs, th=text_key())
+    vertices = written(prints.groupBy("fp").agg(F.min(F.struct("doc", "th")).alias("first")).select("fp", F.col("first.doc").alias("lead"), F.col("first.th").alias("th")))
+    linked = components(links(vertices.select("fp", "lead"), 2)).select("a.fp")
+    leads = vertices.join(linked, "fp", "left_anti").select(F.col("lead").alias("doc"), "th")
+    return met(docs, leads, "left_semi").dropDuplicates(["__doc", "__th"]).select(*docs.columns)

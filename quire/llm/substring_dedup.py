@@ -18,14 +18,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, as_id, doc_key, keyed, table
+from .common import Rolling, as_id, keyed, met, signed, table
 from .repeats import Windows, by_document, differs, phrase_windows, removed
 
-KEPT = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
-KEPT_DDL = "doc long, n_words long, n_removed long, kept string, kept_sha256 string"
+KEPT = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string()), ("th", pa.int64())])
+KEPT_DDL = "doc long, n_words long, n_removed long, kept string, kept_sha256 string, th long"
 
 
 def windows(size: int = 20) -> Windows:
@@ -52,8 +53,8 @@ def subtrees(w: Windows, key, doc, pos, n, d, text):
     return row, j, goes
 
 
-def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, kept_sha256) for each row: its text less every word in a repeat seen earlier."""
+def deduped(docs: DataFrame, size: int = 20) -> DataFrame:
+    """KEPT for each row; th is text_key() of its text as it was."""
     w = windows(size)
     own = keyed(docs)
 
@@ -65,9 +66,14 @@ def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:
             at = y
         keep += parts[at:]
         kept = b" ".join(keep)
-        return doc, len(parts), len(parts) - len(keep), kept.decode(), hashlib.sha256(kept).hexdigest()
+        return doc, len(parts), len(parts) - len(keep), kept.decode(), hashlib.sha256(kept).hexdigest(), int(signed(np.array([xxhash.xxh64_intdigest(text, 42)], np.uint64))[0])
+
+    return by_document(own, removed(own, w, subtrees), w, finish, KEPT, KEPT_DDL)
 
-    return by_document(own, removed(own, w, subtrees), w, finish, KEPT, KEPT_DDL).select(as_id(), "n_words", "n_removed", "kept", "kept_sha256")
+
+def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, kept_sha256) for each row: its text less every word in a repeat seen earlier."""
+    return deduped(docs, size).select(as_id(), "n_words", "n_removed", "kept", "kept_sha256")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -75,9 +81,8 @@ def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their repeats removed; a document of which no word is left goes, one that lost none keeps its text as it was.
-    Rows that share a doc_id get the text of one of them where any of them lost words."""
-    done = substring_dedup(docs).where("n_removed > 0").groupBy(doc_key().alias("__id")).agg(F.first("kept").alias("__kept"))
-    out = docs.withColumn("__doc", doc_key()).join(done, F.col("__doc") == F.col("__id"), "left")
+    """Documents with their repeats removed; a document of which no word is left goes, one that lost none keeps its text as it was."""
+    done = deduped(docs).where("n_removed > 0").groupBy("doc", "th").agg(F.first("kept").alias("__kept"))
+    out = met(docs, done, "left")
     out = out.withColumn("text", F.coalesce("__kept", "text")).where("__kept IS NULL OR __kept <> ''")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
