@@ -707,3 +707,14 @@ def shared_neighbour_winner(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("s"))
     candidates = s.where("s < 20").select(F.col("s").alias("mention_id"), F.col("s").alias("src")).join(F.broadcast(s.where("s BETWEEN 100 AND 200").select(F.col("s").alias("candidate"))))
     return jon.shared_neighbours(edges, candidates)
+
+
+@query("""WITH s AS (SELECT s_suppkey FROM supplier), g AS (SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey IN (FROM s) GROUP BY 1, 2), c AS (SELECT a.src AS mention_id, b.src AS candidate, count(*) AS n FROM g a JOIN g b ON a.dst = b.dst WHERE a.src % 20 = 0 AND b.src <> a.src GROUP BY 1, 2)
+SELECT mention_id, candidate, n AS "count" FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY n DESC, candidate) AS k, lead(n) OVER (PARTITION BY mention_id ORDER BY n DESC, candidate) AS nx FROM c) WHERE k = 1 AND (nx IS NULL OR nx < n)""")
+def shared_neighbour_winner_every(spark, d):
+    """The suppliers with s % 20 = 0 against all others; those that share no part with a mention are no candidates of it."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("src"))
+    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).join(s, "src", "left_semi").distinct()
+    mentions = edges.where("src % 20 = 0")
+    candidates = mentions.join(edges.select(F.col("src").alias("candidate"), "dst"), "dst").where("candidate <> src").select(F.col("src").alias("mention_id"), "src", "candidate").distinct()
+    return jon.shared_neighbours(edges, candidates)
