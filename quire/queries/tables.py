@@ -454,6 +454,11 @@ def page_slice(spark, d):
     return win.page_slice(pages_of(spark, d).where("doc_id < 100"), 2, 3).select("doc_id", "page")
 
 
+@query(f"WITH {PAGES} SELECT doc_id, page::INTEGER AS page FROM pages2000 WHERE content <> '' AND page BETWEEN 2 AND 4")
+def page_slice_every(spark, d):
+    return win.page_slice(pages_of(spark, d), 2, 3).select("doc_id", "page")
+
+
 # Events, engagement, recommendations. `k` of an event's properties is the document.
 
 EVENT = "e AS (SELECT event_id, user_id, ts, json_extract_string(props, '$.k')::BIGINT AS doc_id, CASE event_type WHEN 'click' THEN 'bookmark_add' WHEN 'error' THEN 'bookmark_remove' WHEN 'view' THEN 'document_open' ELSE 'reading_session' END AS event_type, value FROM events)"

@@ -21,3 +21,7 @@ def test_winners_among_all_suppliers(spark):
     out = whole(spark, "shared_neighbour_winner_every")
     assert out and all(r.mention_id % 20 == 0 for r in out)
     assert {r.mention_id for r in out} <= ids(spark, "supplier", "s_suppkey")
+
+
+def test_slices_of_all_documents(spark):
+    assert max(r.doc_id for r in whole(spark, "page_slice_every")) >= 100
