@@ -363,6 +363,14 @@ def cosine_pairs(spark, d):
     return rows.join(F.broadcast(five)).select("qid", "vec_id", V.cosine("embedding", "q").alias("cosine")).select("qid", "vec_id", six("cosine"))
 
 
+@query(f"WITH b AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 20 = 0) SELECT qid, vec_id, {six_sql('greatest(-1, least(1, ' + cos('embedding', 'q') + '))', 'cosine')} FROM embeddings, b")
+def cosine_pairs_every(spark, d):
+    """Every twentieth vector against all, which meet in blocks."""
+    rows = table(spark, d, "embeddings").withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(64)).cast("int"))
+    q = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_b"))
+    return rows.join(q, "_b").select("qid", "vec_id", V.cosine("embedding", "q").alias("cosine")).select("qid", "vec_id", six("cosine"))
+
+
 @query("""WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v, vec_id % 3 + 1 AS w FROM embeddings),
 m AS (SELECT label, i, sum(v * w) / sum(w) AS v FROM x GROUP BY 1, 2), l AS (SELECT label, sqrt(sum(v * v)) AS l FROM m GROUP BY 1)
 SELECT label, i::INTEGER AS i, floor(v / l * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS v FROM m JOIN l USING (label)""")

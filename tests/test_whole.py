@@ -25,3 +25,8 @@ def test_winners_among_all_suppliers(spark):
 
 def test_slices_of_all_documents(spark):
     assert max(r.doc_id for r in whole(spark, "page_slice_every")) >= 100
+
+
+def test_every_twentieth_vector_meets_all(spark):
+    vectors = ids(spark, "embeddings", "vec_id")
+    assert {(r.qid, r.vec_id) for r in whole(spark, "cosine_pairs_every")} == {(q, v) for q in vectors if q % 20 == 0 for v in vectors}
