@@ -1,11 +1,12 @@
-"""Suffix-array dedup over UTF-8 bytes: prefix-free parsing.
+"""Repeats of `size` UTF-8 bytes by prefix-free parsing; windows grouped by hash stand for the suffix array.
 
 Rolling-hash triggers cut each document into phrases. A trigger is a place whose rolling hash is the least in some
 window of ``size`` bytes, so that no window is without one and equal windows have it at the same place; a phrase is all
 that the windows of one trigger cover, so neighbouring phrases overlap as prefix-free parsing asks. The *parse* is the
 corpus as phrases; the *dictionary* holds each different phrase once. Both are combined: a phrase that the parse has
 twice repeats as a whole, and the suffixes of the dictionary's other phrases (those at which a window starts, cut at
-``size`` bytes) are sorted trigger by trigger into a suffix array, where neighbours that share ``size`` bytes repeat.
+``size`` bytes) are sorted by a 64-bit hash of those bytes, so that equal windows are neighbours. That is no
+lexicographic order: there is no suffix array of dictionary or parse, as only equality at ``size`` bytes is asked for.
 Every occurrence of a repeat goes, the first included.
 
 Null texts are empty. Rows alike in doc_id and text are one document (not a repeat of each other), different texts of
