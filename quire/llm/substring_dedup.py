@@ -1,9 +1,10 @@
-"""Substring dedup over words: prefix-partitioned suffix trees.
+"""Substring dedup over words: anchor-partitioned windows, sorted by hash labels.
 
-The suffixes that can matter start windows of ``size`` words. They are dealt out by a prefix of variable length: the
-anchor phrase that governs the window (quire.llm.repeats), lengthened to the whole window where an anchor governs more
-than ``hot`` kinds of phrase, so every group fits in memory. A group's suffixes, cut at ``size`` words, are sorted into
-a suffix tree: levels at a quarter, a half, three quarters and all of the depth, nodes as stretches of equal labels.
+The suffixes that can matter start windows of ``size`` words. They are dealt out not by a prefix but by the anchor that
+governs the window, the least hash of a few words anywhere in it (quire.llm.repeats), so that neighbours share a group;
+where an anchor governs more than ``hot`` kinds of phrase, by a hash of the whole window. A group's suffixes, cut at
+``size`` words, are sorted by hash labels at a quarter, a half, three quarters and all of the depth, nodes being
+stretches of equal labels. Only full depth decides; no inner node is read.
 A node at full depth with several leaves is a repeat; all its leaves but the first in corpus order lose their words, and
 runs of such windows are the maximal repeats.
 
