@@ -1,21 +1,22 @@
 """Sharding by a k-d tree, in DataFrame functions alone.
 
-Each document is a point of its metadata (id, size, source, language), every dimension scaled to 31 bits of its range; a
+Each document is a point of its metadata (id, size, source, language), every dimension scaled to 30 bits of its range; a
 hash of id and text makes up the low half of a coordinate, so that points which are alike in a dimension (one source may
 hold a third of all rows) still split evenly. A node is split along its widest dimension at the median of bytes, which
 is found by histograms: ``BINS`` ranges of coordinates are summed for all nodes of a level at once, the range that holds
 the median is cut again, until it holds one document or less than ``NEAR`` of a leaf. Splitting goes on until leaves
-reach the target. The driver holds a split for each inner node and histograms of at most ``BINS`` rows a node.
+reach the target. The executors pick the range from the histogram; the driver gets a row for each node of a level, and
+the nodes, which are at most twice as many as shards, come back as a table that is joined.
 
 Slots are numbered within a shard over pieces of it dealt by hash: sizes of the pieces are summed first, so no task sorts
-a whole shard. Null texts have size 1 and crc32 0; null ids, sources and languages are points like any other. Rows alike
-in all columns get slots of their own. Columns other than doc_id, text, source and lang are not read.
+a whole shard. Null texts have size 1 and crc32 0; null ids lie at the low end of the ids' range and take no part in it;
+null sources and languages are points like any other. Equal texts are points of their own and may go to different
+shards, as a group of copies can be larger than a shard. Rows alike in all columns get slots of their own. Columns other
+than doc_id, text, source and lang are not read.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,9 @@ from .common import as_id, doc_key, spread, table, written
 
 BINS, NEAR = 4096, 0.0005
 DIMENSIONS = ("id", "size", "source", "lang")
-UNIT = (1 << 31) - 1
+UNIT = (1 << 30) - 1
+#: One more than the largest coordinate: differences of coordinates fit a long.
+END = (UNIT + 1) << 32
 
 
 def points(docs: DataFrame) -> DataFrame:
@@ -31,86 +34,83 @@ def points(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(
         doc_key().alias("doc"),
+        F.col("doc_id").cast("double").alias("x0"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.pmod(F.xxhash64(F.lit("source"), F.col("source").cast("string")), F.lit(UNIT)).alias("source"),
         F.pmod(F.xxhash64(F.lit("lang"), F.col("lang").cast("string")), F.lit(UNIT)).alias("lang"),
     )
-    own = own.withColumn("salt", F.pmod(F.xxhash64("doc", "text_crc32"), F.lit(1 << 32)))
-    own = written(own)
-    r = own.agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min("size").alias("c"), F.max("size").alias("d")).first()
-
-    def scaled(x: Column, lo: float, hi: float) -> Column:
-        return F.least(F.floor((x - F.lit(float(lo))) / F.lit(float(max(hi - lo, 1e-9))) * UNIT), F.lit(UNIT)).cast("long")
-
-    if r.a is None:
-        place = [F.lit(0).cast("long")] * 2
-    else:
-        place = [scaled(F.col("doc").cast("double"), r.a, r.b), scaled(F.log(F.col("size").cast("double")), math.log(r.c), math.log(r.d))]
-    dims = [*place, F.col("source"), F.col("lang")]
+    own = written(own.withColumns({"x1": F.log(F.col("size").cast("double")), "salt": F.pmod(F.xxhash64("doc", "text_crc32"), F.lit(1 << 32))}))
+    # Both bounds come from the very column that is scaled: another logarithm may differ in its last bit.
+    r = own.agg(*[f(c).alias(f"{n}_{c}") for c in ("x0", "x1") for n, f in (("low", F.min), ("high", F.max))]).first()
+
+    def scaled(c: str) -> Column:
+        low, high = r[f"low_{c}"], r[f"high_{c}"]
+        if low is None or high <= low:
+            return F.lit(0).cast("long")
+        part = F.floor((F.col(c) - F.lit(low)) / F.lit(high - low) * UNIT).cast("long")
+        return F.coalesce(F.greatest(F.lit(0), F.least(part, F.lit(UNIT))), F.lit(0)).cast("long")
+
+    dims = [scaled("x0"), scaled("x1"), F.col("source"), F.col("lang")]
     return own.select("doc", "size", "text_crc32", "salt", *[(x * F.lit(1 << 32) + F.col("salt")).alias(f"c{i}") for i, x in enumerate(dims)])
 
 
-def chosen(cases: dict[int, object], otherwise=None) -> Column:
-    """A literal by node, as a CASE of at most one branch for each node."""
-    out = F.lit(otherwise)
-    for node, value in cases.items():
-        out = F.when(F.col("node") == node, value if isinstance(value, Column) else F.lit(value)).otherwise(out)
-    return out
+def as_table(like: DataFrame, rows: list[tuple], ddl: str) -> DataFrame:
+    """rows of the driver, one for each node: a broadcast side whose size is that of the tree, not of the data."""
+    return F.broadcast(like.sparkSession.createDataFrame(rows, ddl))
 
 
 def medians(level: DataFrame, nodes: dict[int, float], leaf: float) -> dict[int, int]:
     """Split coordinate of each node of (node, c, size): nodes gives the bytes wanted below it."""
-    span = {k: (0, 1 << 63) for k in nodes}
+    span = {k: (0, END) for k in nodes}
     below = {k: 0 for k in nodes}
     done: dict[int, int] = {}
+    so_far = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     while len(done) < len(nodes):
         live = [k for k in nodes if k not in done]
         step = {k: max(1, -(-(span[k][1] - span[k][0]) // BINS)) for k in live}
-        lo, hi = chosen({k: F.lit(span[k][0]) for k in live}), chosen({k: F.lit(span[k][1] - 1) for k in live})
-        width = chosen({k: F.lit(step[k]) for k in live})
-        inside = level.where((F.col("c") >= lo) & (F.col("c") <= hi)).withColumn("bin", F.call_function("div", F.col("c") - lo, width))
-        rows = inside.groupBy("node", "bin").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
+        asked = as_table(level, [(k, *span[k], step[k], float(nodes[k] - below[k])) for k in live], "node long, lo long, hi long, step long, want double")
+        bins = level.join(asked, "node").where("c >= lo AND c < hi").groupBy("node", "want", F.expr("(c - lo) DIV step").alias("bin")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+        bins = bins.withColumn("before", F.coalesce(F.sum("bytes").over(so_far), F.lit(0)))
+        # The bin that reaches what is wanted, or else the last.
+        reach = F.when(F.col("before") + F.col("bytes") >= F.col("want"), F.struct("bin", "before", "bytes", "n"))
+        found = bins.groupBy("node").agg(F.coalesce(F.min(reach), F.max(F.struct("bin", "before", "bytes", "n"))).alias("at")).collect()  # a row for each node
+        at = {r.node: r["at"] for r in found}
         for k in live:
-            want = nodes[k]
-            own = sorted((int(r.bin), int(r.bytes), int(r.rows)) for r in rows if r.node == k)
-            if not own:
+            if k not in at:
                 done[k] = span[k][0]
                 continue
-            total = below[k]
-            for at, size, n in own:
-                if total + size >= want or at == own[-1][0]:
-                    break
-                total += size
-            start = span[k][0] + at * step[k]
-            if step[k] == 1 or n == 1 or size <= NEAR * leaf:
-                nearer_after = abs(total + size - want) < abs(total - want)
-                done[k] = start + step[k] if nearer_after else start
+            low, before, size, want = span[k][0] + at[k].bin * step[k], at[k].before, at[k].bytes, nodes[k] - below[k]
+            if step[k] == 1 or at[k].n == 1 or size <= NEAR * leaf:
+                done[k] = low + step[k] if abs(before + size - want) < abs(before - want) else low
             else:
-                span[k], below[k] = (start, min(start + step[k], span[k][1])), total
+                span[k], below[k] = (low, min(low + step[k], span[k][1])), below[k] + before
     return done
 
 
 def tree(pts: DataFrame, leaves: int) -> DataFrame:
     """pts with shard, the leaf of each row; leaves are numbered from left to right."""
-    placed = pts.withColumn("node", F.lit(1))
+    places = [f"c{i}" for i in range(len(DIMENSIONS))]
+    placed = pts.withColumn("node", F.lit(1).cast("long"))
     share = {1: (0, leaves)}  # node: its first leaf and how many it has
-    final: dict[int, int] = {}
     total = pts.agg(F.sum("size")).first()[0] or 0
-    while True:
-        final |= {k: first for k, (first, n) in share.items() if n == 1}
-        share = {k: v for k, v in share.items() if v[1] > 1}
-        if not share:
-            return placed.withColumn("shard", chosen(final).cast("int")).drop("node")
-        level = placed.where(F.col("node").isin(list(share)))
-        widths = [(F.max(f"c{i}") - F.min(f"c{i}")).alias(f"w{i}") for i in range(len(DIMENSIONS))]
+    along = lambda: F.array(*places)[F.col("dim")]
+    while any(n > 1 for _, n in share.values()):
+        inner = {k: v for k, v in share.items() if v[1] > 1}
+        level = placed.join(as_table(pts, [(k,) for k in inner], "node long"), "node")
+        widths = [(F.max(c) - F.min(c)).alias(f"w{i}") for i, c in enumerate(places)]
         wide = {r.node: r for r in level.groupBy("node").agg(F.sum("size").alias("bytes"), *widths).collect()}  # a row for each node
-        along = {k: F.col(f"c{max(range(len(DIMENSIONS)), key=lambda i: (wide[k][f'w{i}'], -i)) if k in wide else 0}") for k in share}
-        wanted = {k: wide[k].bytes * (n // 2) / n if k in wide else 0 for k, (_, n) in share.items()}
-        splits = medians(level.select("node", chosen(along).alias("c"), "size"), wanted, total / leaves)
-        child = {k: F.when(along[k] >= splits[k], 2 * k + 1).otherwise(2 * k) for k in share}
-        placed = placed.withColumn("node", F.coalesce(chosen(child), F.col("node")))
-        share = {c: v for k, (first, n) in share.items() for c, v in ((2 * k, (first, n // 2)), (2 * k + 1, (first + n // 2, n - n // 2)))}
+        dim = {k: max(range(len(DIMENSIONS)), key=lambda i: (wide[k][f"w{i}"], -i)) if k in wide else 0 for k in inner}
+        wanted = {k: wide[k].bytes * (n // 2) / n if k in wide else 0 for k, (_, n) in inner.items()}
+        dims = as_table(pts, list(dim.items()), "node long, dim int")
+        splits = medians(placed.join(dims, "node").select("node", along().alias("c"), "size"), wanted, total / leaves)
+        cuts = as_table(pts, [(k, dim[k], splits[k]) for k in inner], "node long, dim int, split long")
+        child = F.when(F.col("split").isNull(), F.col("node")).otherwise(2 * F.col("node") + (along() >= F.col("split")).cast("long"))
+        placed = written(placed.join(cuts, "node", "left").withColumn("node", child).select(*pts.columns, "node"))
+        for k, (first, n) in inner.items():
+            del share[k]
+            share |= {2 * k: (first, n // 2), 2 * k + 1: (first + n // 2, n - n // 2)}
+    return placed.join(as_table(pts, [(k, first) for k, (first, _) in share.items()], "node long, shard int"), "node").drop("node")
 
 
 def slots(placed: DataFrame) -> DataFrame:

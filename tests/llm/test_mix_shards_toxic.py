@@ -104,6 +104,38 @@ def test_op10_splits_along_the_widest_dimension_at_the_median(spark):
     assert abs(2 * sum(r.size for r in left) - total) <= max(best, 2 * kd_shards.NEAR * total)
 
 
+def brute_tree(rows, leaves, first=0):
+    """Shard by place in rows of (size, c0..c3): widest dimension, median of bytes, as the docstring says."""
+    if leaves == 1 or not rows:
+        return {id(r): first for r in rows}
+    dim = max(range(4), key=lambda i: (max(r[1 + i] for r in rows) - min(r[1 + i] for r in rows), -i))
+    rows = sorted(rows, key=lambda r: r[1 + dim])
+    want, below, k = sum(r[0] for r in rows) * (leaves // 2) / leaves, 0, 0
+    while k < len(rows) - 1 and below + rows[k][0] < want:
+        below += rows[k][0]
+        k += 1
+    k += abs(below + rows[k][0] - want) < abs(below - want)
+    return brute_tree(rows[:k], leaves // 2, first) | brute_tree(rows[k:], leaves - leaves // 2, first + leaves // 2)
+
+
+@pytest.mark.parametrize("leaves", [16, 5])
+def test_op10_equals_brute_force(spark, leaves):
+    pts = kd_shards.written(kd_shards.points(spark.read.parquet(f"{SF}/documents.parquet")))
+    found = kd_shards.tree(pts, leaves).collect()
+    rows = [(r.size, r.c0, r.c1, r.c2, r.c3) for r in found]
+    shard = brute_tree(rows, leaves)
+    assert [r.shard for r in found] == [shard[id(r)] for r in rows]
+
+
+@pytest.mark.parametrize("smallest", [1, 2, 3, 48, 74, 299])
+def test_op10_coordinates_stay_in_range(spark, smallest):
+    docs = documents(spark, ["x" * (smallest - 1 + 7 * i) for i in range(12)], ids=[None, -(2**62), 2**62, *range(9)])
+    for r in kd_shards.points(docs).collect():
+        assert all(0 <= r[f"c{i}"] < kd_shards.END for i in range(4))
+    spread = {r.c0 >> 32 for r in kd_shards.points(documents(spark, ["x"] * 6, ids=[None, 10, 20, 30, 40, 50])).collect()}
+    assert len(spread) == 5  # the null id stretches no range
+
+
 def test_op10_odd_rows(spark):
     docs = documents(spark, ODD).selectExpr("*", "1 AS shard", "'x' AS salt", "'y' AS node")
     shards_hold(by_id(kd_shards.kd_shards(docs, 16)), dict(enumerate(ODD)), 16)
