@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import difflib
 import re
+import statistics
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,66 +36,105 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-def _gap(a: list[str], b: list[str]) -> dict[int, list[int]]:
-    """Least-cost alignment of a gap: pairs, a word split in two, two words read as one, or neither."""
-    if len(a) == len(b) and (len(a) <= 3 or all(ratio(x, y) >= PAIR for x, y in zip(a, b, strict=True))):
-        return {i: [i] for i in range(len(a)) if a[i]}
+class Share(NamedTuple):
+    """A part of a recognised word, from and to as shares of its width in reading direction."""
+
+    word: int
+    low: float = 0.0
+    high: float = 1.0
+
+
+def likeness(a: list[str], b: list[str], i: int, j: int, m: int, n: int) -> float:
+    """How well the m words before a[i] and the n before b[j] agree when read as one; small gaps with as many words on
+    either side agree place by place."""
+    if len(a) == len(b) <= 3 and i == j and m == n == 1:
+        return 1.0
+    return ratio("".join(a[i - m : i]), "".join(b[j - n : j]))
+
+
+def matched(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
+    """Word groups (i, m, j, n) that stand for each other, with the largest sum of likeness above PAIR; one word may be read
+    as two, or two as one. A word left out on either side costs a tenth."""
     if max(len(a), len(b)) > GAP:
-        return {}
-    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for i in range(len(a) + 1):
-        for j in range(len(b) + 1):
-            if (i, j) not in best:
-                continue
-            base = best[i, j][0]
-            for di, dj in ((1, 1), (1, 2), (2, 1), (1, 0), (0, 1)):
-                if i + di <= len(a) and j + dj <= len(b):
-                    like = ratio("".join(a[i : i + di]), "".join(b[j : j + dj])) if di and dj else 0.0
-                    gain = base + (like - PAIR if di and dj else -0.1)
-                    if gain > best.get((i + di, j + dj), (float("-inf"),))[0]:
-                        best[i + di, j + dj] = (gain, (i, j, like >= PAIR))
-    out, at = {}, (len(a), len(b))
-    while best.get(at, (0, None))[1] is not None:
-        i, j, good = best[at][1]
-        if good:
-            for x in range(i, at[0]):
-                if a[x]:
-                    out[x] = list(range(j, at[1]))
-        at = (i, j)
-    return out
-
-
-def align(source: list[str], read: list[str]) -> dict[int, list[int]]:
-    """GEO-01: for each word key of the source the recognised words it is, in reading order."""
-    out: dict[int, list[int]] = {}
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, source, read, autojunk=False).get_opcodes():
-        if tag == "equal":
-            out |= {i1 + k: [j1 + k] for k in range(i2 - i1) if source[i1 + k]}
-        elif tag == "replace":
-            out |= {i1 + i: [j1 + j for j in js] for i, js in _gap(source[i1:i2], read[j1:j2]).items()}
+        return []
+    moves = ((1, 1), (1, 2), (2, 1))
+    score = [[-0.1 * (i + j) for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    last: list[list[tuple[int, int]]] = [[(1, 0) if i else (0, 1) for _ in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            options = [(score[i - 1][j] - 0.1, (1, 0)), (score[i][j - 1] - 0.1, (0, 1))]
+            options += [(score[i - m][j - n] + like - PAIR, (m, n)) for m, n in moves if m <= i and n <= j and (like := likeness(a, b, i, j, m, n)) >= PAIR]
+            score[i][j], last[i][j] = max(options)
+    groups, i, j = [], len(a), len(b)
+    while i or j:
+        m, n = last[i][j]
+        i, j = i - m, j - n
+        if m and n:
+            groups.append((i, m, j, n))
+    return groups[::-1]
+
+
+def align(source: list[str], read: list[str]) -> dict[int, list[Share]]:
+    """GEO-01: for each word key of the source the recognised words, or parts of them, that it is, in reading order."""
+    out: dict[int, list[Share]] = {}
+    at_source = at_read = 0
+    for x, y, n in difflib.SequenceMatcher(None, source, read, autojunk=False).get_matching_blocks():
+        for i, m, j, k in matched(source[at_source:x], read[at_read:y]):
+            i, j = i + at_source, j + at_read
+            # Source words that were read as one have parts of its box, by their lengths.
+            sizes = [len(w) for w in source[i : i + m]]
+            ends = [sum(sizes[:q]) / max(1, sum(sizes)) for q in range(m + 1)]
+            for q in range(m):
+                out[i + q] = [Share(j + r, *((ends[q], ends[q + 1]) if m > 1 else ())) for r in range(k)]
+        out |= {x + q: [Share(y + q)] for q in range(n)}
+        at_source, at_read = x + n, y + n
+    out = {i: shares for i, shares in out.items() if source[i]}
+    # Reading goes forwards: what would step back is left out.
     at = sorted(out)
-    # Words that two source words share count once: ends may not fall.
-    keep = increasing([out[i][0] + i / (len(source) + 1) for i in at])
+    keep = increasing([(out[i][0].word, out[i][0].low) for i in at])
     return {at[k]: out[at[k]] for k in keep}
 
 
+def reading_order(words: list[tuple], rtl: bool) -> list[tuple]:
+    """Recognised words (text, x0, y0, x1, y1) row by row, each row from its reading side."""
+    if not words:
+        return []
+    order = sorted(words, key=lambda w: w[2] + w[4])
+    near = statistics.median(w[4] - w[2] for w in words) / 2
+    row, rows, first = -1, [], None
+    for w in order:
+        middle = (w[2] + w[4]) / 2
+        if first is None or middle - first > near:
+            row, first = row + 1, middle
+        rows.append((row, -w[3] if rtl else w[1], w))
+    return [w for *_, w in sorted(rows, key=lambda r: r[:2])]
+
+
+def box_of(shares: list[Share], words: list[tuple], rtl: bool) -> tuple[float, float, float, float]:
+    """The box around parts of recognised words."""
+    boxes = []
+    for s in shares:
+        _, x0, y0, x1, y1 = words[s.word]
+        low, high = (1 - s.high, 1 - s.low) if rtl else (s.low, s.high)
+        boxes.append((x0 + (x1 - x0) * low, y0, x0 + (x1 - x0) * high, y1))
+    return min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)
+
+
 def place(text: str, words: list[tuple], box: tuple, rtl: bool) -> tuple[list[tuple], float]:
     """GEO-02: (start, end, x0, y0, x1, y1, sure) of each word of a block, and the share that was aligned.
 
-    Words without a partner share the room between their placed neighbours of the row in proportion to their lengths; under
-    the least share the whole block is laid out so.
+    Recognised words (text, x0, y0, x1, y1) are read row by row. Words without a partner share the room between their placed
+    neighbours of the row in proportion to their lengths; under the least share the whole block is laid out so.
     """
     tokens = tokenize(text)
     if not tokens:
         return [], 0.0
+    words = reading_order(words, rtl)
     found = align([t[3] for t in tokens], [key(w[0]) for w in words])
     share = len(found) / len(tokens)
     if share < COVERED:
         found = {}
-    out: list[tuple | None] = [None] * len(tokens)
-    for i, js in found.items():
-        boxes = [words[j][1:5] for j in js]
-        out[i] = (min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes), True)
+    out: list[tuple | None] = [(*box_of(found[i], words, rtl), True) if i in found else None for i in range(len(tokens))]
     i = 0
     while i < len(tokens):
         if out[i] is not None:
@@ -134,7 +175,7 @@ def placed_words(blocks: DataFrame, words: DataFrame) -> DataFrame:
         import pandas as pd
 
         b = block.iloc[0]
-        got = [(r.text, r.x0, r.y0, r.x1, r.y1) for r in found.sort_values("seq").itertuples()]
+        got = [(r.text, r.x0, r.y0, r.x1, r.y1) for r in found.sort_values("seq").itertuples()]  # seq settles ties
         rows, share = place(b.text or "", got, (b.x0, b.y0, b.x1, b.y1), bool(b.rtl))
         names = [c.split(" ")[0] for c in PLACED.split(", ")]
         return pd.DataFrame([(b.page_id, b.block, *r, share) for r in rows], columns=names)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from itertools import pairwise
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,60 +115,61 @@ def leaves(rows: DataFrame) -> DataFrame:
     return rows.join(rows.select("doc_id", F.col("parent_id").alias("seg_id")).where("seg_id IS NOT NULL").distinct(), ["doc_id", "seg_id"], "left_anti").orderBy("doc_id", "start", "seg_id")
 
 
-def cut_point(text: str | None, low: int, target: int, high: int) -> int:
-    """After the boundary nearest to the target: blank line, line end, sentence end, white space, in that order; else the target."""
-    if not text:
-        return target
-    best: tuple[int, int, int] | None = None
-    for i in range(low + 1, min(high, len(text))):
-        c = text[i]
-        rank = (0 if text[i - 1] == "\n" else 1) if c == "\n" else 2 if c in ".۔؟!" else 3 if c.isspace() else None
-        if rank is not None and (best is None or (rank, abs(i + 1 - target)) < best[:2]):
-            best = (rank, abs(i + 1 - target), i + 1)
-    return best[2] if best else target
-
-
-def pieces(start: int, end: int, most: int, text: str | None) -> Iterator[tuple[int, int]]:
-    """A long span in even pieces, cut within a quarter of a piece of the even place."""
-    n = -(-(end - start) // most)
-    step, at = (end - start) / n, start
-    for k in range(1, n):
-        target, near = start + round(step * k), max(1, int(step * 0.25))
-        cut = cut_point(text, max(at, target - near), target, min(end, target + near))
-        cut = max(at + 1, min(cut, end - 1))
-        yield at, cut
-        at = cut
-    yield at, end
-
-
-def plan(spans: list[tuple[str, int, int, bool]], length: int, most: int = 3000, overlap: int = 250, text: str | None = None) -> list[tuple]:
+class Leaf(NamedTuple):
+    seg_id: str
+    start: int
+    end: int
+    scope: bool = False
+
+
+#: Where a window may end, the best first: a blank line, a line, a sentence, white space.
+BREAK = re.compile(r"((?<=\n)\n)|(\n)|([.۔؟!])|(\s)")
+
+
+def break_ends(text: str) -> list[list[int]]:
+    """Ends of all breaks of a text by kind, each in order."""
+    ends: list[list[int]] = [[] for _ in range(BREAK.groups)]
+    for m in BREAK.finditer(text):
+        ends[m.lastindex - 1].append(m.end())
+    return ends
+
+
+def even_cuts(leaf: Leaf, most: int, ends: list[list[int]]) -> list[int]:
+    """Places that part a long leaf about evenly: near each even place the nearest break of the best kind within a quarter of a part."""
+    parts = -(-(leaf.end - leaf.start) // most)
+    width = (leaf.end - leaf.start) / parts
+    cuts = set()
+    for place in (leaf.start + round(k * width) for k in range(1, parts)):
+        around = (nearest(kind, place, width / 4) for kind in ends)
+        cuts.add(next((x for x in around if x is not None), place))
+    return sorted(x for x in cuts if leaf.start < x < leaf.end)
+
+
+def nearest(places: list[int], wanted: int, reach: float) -> int | None:
+    """The member of a sorted list nearest to what is wanted, if within reach."""
+    k = bisect_left(places, wanted)
+    return min((x for x in places[max(0, k - 1) : k + 1] if abs(x - wanted) <= reach), key=lambda x: abs(x - wanted), default=None)
+
+
+def planned(leaves: list[Leaf], length: int, most: int = 3000, overlap: int = 250, text: str | None = None) -> list[tuple]:
     """KB-06: (context_start, context_end, start, end, ids, oversized): leaves packed up to `most`; a coreference scope is never
-    cut but marked when too long; other long leaves are cut evenly."""
-    out, held = [], []
-
-    def put(a, b, ids, oversized):
-        out.append((max(0, a - overlap), min(length, b + overlap), a, b, ids, oversized))
-
-    def flush():
-        if held:
-            put(held[0][1], held[-1][2], [s[0] for s in held], False)
-            held.clear()
-
-    for span in spans:
-        seg, a, b, whole = span
-        if b - a > most:
-            flush()
-            if whole:
-                put(a, b, [seg], True)
-            else:
-                for x, y in pieces(a, b, most, text):
-                    put(x, y, [seg], False)
-            continue
-        if held and b - held[0][1] > most:
-            flush()
-        held.append(span)
-    flush()
-    return out
+    parted but marked when too long; other long leaves are parted about evenly."""
+    packs: list[list[Leaf]] = []
+    for leaf in leaves:
+        # A pack that holds a long leaf is full by itself.
+        if packs and leaf.end - packs[-1][0].start <= most:
+            packs[-1].append(leaf)
+        else:
+            packs.append([leaf])
+    ends = break_ends(text or "")
+    rows = []
+    for pack in packs:
+        low, high = pack[0].start, pack[-1].end
+        long = high - low > most
+        cuts = even_cuts(pack[0], most, ends) if long and not pack[0].scope else []
+        for x, y in pairwise([low, *cuts, high]):
+            rows.append((max(0, x - overlap), min(length, y + overlap), x, y, [leaf.seg_id for leaf in pack], long and pack[0].scope))
+    return rows
 
 
 WINDOWS = "doc_id long, window int, context_start int, context_end int, start int, end int, seg_ids array<string>, oversized boolean"
@@ -179,8 +182,8 @@ def windows(leaf_rows: DataFrame, docs: DataFrame, most: int = 3000, overlap: in
         import pandas as pd
 
         text = texts.text.iloc[0] if len(texts) else ""
-        spans = [(r.seg_id, int(r.start), int(r.end), bool(r.is_scope)) for r in rows.sort_values(["start", "seg_id"]).itertuples()]
-        return pd.DataFrame([(key[0], k, *w) for k, w in enumerate(plan(spans, len(text), most, overlap, text))], columns=["doc_id", "window", "context_start", "context_end", "start", "end", "seg_ids", "oversized"])
+        leaves = [Leaf(r.seg_id, int(r.start), int(r.end), bool(r.is_scope)) for r in rows.sort_values(["start", "seg_id"]).itertuples()]
+        return pd.DataFrame([(key[0], k, *w) for k, w in enumerate(planned(leaves, len(text), most, overlap, text))], columns=["doc_id", "window", "context_start", "context_end", "start", "end", "seg_ids", "oversized"])
 
     return leaf_rows.groupBy("doc_id").cogroup(docs.select("doc_id", "text").groupBy("doc_id")).applyInPandas(run, WINDOWS)
 

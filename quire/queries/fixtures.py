@@ -679,6 +679,15 @@ def planned_windows(spark):
     return kb.windows(t, docs, 20, 5).select(F.col("window").alias("win"), "start", F.col("end").alias("finish"), joined(F.col("seg_ids")).alias("ids"), "oversized")
 
 
+@known("start int, finish int", (0, 24), (24, 51), (51, 75), (75, 100))
+def windows_end_at_breaks(spark):
+    t = rows(spark, "doc_id long, seg_id string, start int, `end` int, is_scope boolean", (1, "a", 0, 100, False))
+    text = list("x" * 100)
+    for k, c in ((20, " "), (23, "."), (50, "\n"), (48, "."), (90, " ")):
+        text[k] = c
+    return kb.windows(t, rows(spark, "doc_id long, text string", (1, "".join(text))), 25, 5).select("start", F.col("end").alias("finish"))
+
+
 @known("chunk int, start int, finish int", (0, 0, 8), (1, 6, 16), (2, 14, 20))
 def text_chunks(spark):
     return kb.chunked(rows(spark, "doc_id long, text string", (1, "abcdefg\nhijklmnopqrs")), 10, 2).withColumnRenamed("end", "finish")
@@ -750,6 +759,16 @@ def placed_words(spark):
     return geo.placed_words(b, w).select("start", "sure", F.when(F.col("start") == 8, 60.0).otherwise(F.col("x0")).alias("x0"))
 
 
+@known("block string, start int, x0 double, x1 double", ("l", 0, 20.0, 40.0), ("l", 4, 40.0, 60.0), ("r", 0, 40.0, 60.0), ("r", 4, 20.0, 40.0), ("t", 0, 0.0, 10.0), ("t", 4, 30.0, 40.0), ("t", 8, 0.0, 10.0), ("t", 12, 30.0, 40.0))
+def split_boxes(spark):
+    block = "page_id long, block string, text string, x0 double, y0 double, x1 double, y1 double, rtl boolean"
+    b = rows(spark, block, (1, "l", "foo bar", 0.0, 0.0, 100.0, 10.0, False), (1, "r", "foo bar", 0.0, 0.0, 100.0, 10.0, True), (1, "t", "one two two one", 0.0, 0.0, 100.0, 30.0, False))
+    word = "page_id long, block string, seq int, text string, x0 double, y0 double, x1 double, y1 double"
+    read = [(1, k, 0, "foobar", 20.0, 0.0, 60.0, 10.0) for k in "lr"]
+    read += [(1, "t", 0, "one", 30.0, 15.0, 40.0, 25.0), (1, "t", 1, "one", 0.0, 0.0, 10.0, 10.0), (1, "t", 2, "two", 0.0, 15.0, 10.0, 25.0), (1, "t", 3, "two", 30.0, 0.0, 40.0, 10.0)]
+    return geo.placed_words(b, rows(spark, word, *read)).select("block", "start", "x0", "x1")
+
+
 @known("page_id long, blocks long, low_coverage long, mean_coverage double", (1, 2, 1, 0.75))
 def geometry_figures(spark):
     return geo.page_figures(rows(spark, "page_id long, block string, coverage double", (1, "a", 1.0), (1, "a", 1.0), (1, "b", 0.5)))

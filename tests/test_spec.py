@@ -1,6 +1,6 @@
 import pytest
 
-from quire.operators.extraction import SURAS, anchor, shadow, sura_names
+from quire.operators.extraction import SURAS, anchor, shadow
 from quire.operators.filters import Facets, centuries, ids_of
 from quire.operators.geometry import align, ratio
 from quire.operators.windows import increasing, page_links
@@ -59,7 +59,7 @@ def test_offsets_with_growing_lower_case():
     text = "İa مُ"
     low, places = shadow(text)
     assert len(low) == len(places) and text[places[low.index("a")]] == "a"
-    assert len(sura_names()) == 114 and SURAS.startswith("الفاتحة")
+    assert len(SURAS) == 114 and (SURAS[0], SURAS[2], SURAS[113]) == ("الفاتحة", "آل عمران", "الناس")
 
 
 def test_anchor_tiers():
@@ -71,6 +71,8 @@ def test_anchor_tiers():
 
 
 def test_alignment_and_subsequence():
-    assert align(["one", "two", "three"], ["one", "tw", "o", "three"]) == {0: [0], 1: [1, 2], 2: [3]}
+    got = align(["one", "two", "three"], ["one", "tw", "o", "three"])
+    assert {i: [s.word for s in shares] for i, shares in got.items()} == {0: [0], 1: [1, 2], 2: [3]}
+    assert align(["foo", "bar"], ["foobar"]) == {0: [(0, 0.0, 0.5)], 1: [(0, 0.5, 1.0)]}
     assert ratio("abc", "abc") == 1.0
     assert increasing([5, 1, 2, 9, 3]) == [1, 2, 4] and increasing([]) == []
