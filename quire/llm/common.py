@@ -1,8 +1,9 @@
 """What the operators share: reading tables, written intermediate tables, rows as documents, text kernels.
 
-A *document key* is ``(doc, part)``: ``doc`` is the integer doc_id (a null id becomes ``NULL_ID``) and ``part``
-numbers the different texts found under one doc_id (0 where ids are unique). Rows that agree in both id and text are
-one document; every row of the input still gets its own row in a result.
+A *document key* is ``(doc, part)``: ``doc`` is the integer doc_id and ``part`` numbers the different texts found under
+one doc_id in the order of their hashes (0 where ids are unique). A row without doc_id has a doc below ``NO_ID`` from its
+text's hash, so that any number of such rows spread; doc_ids are above that. Rows that agree in both id and text are one
+document; every row of the input still gets its own row in a result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-NULL_ID = -(2**63)
+#: Documents below it have no doc_id.
+NO_ID = -(2**62)
 #: Bytes of text that a Python worker works on at once.
 CHUNK_BYTES = 4 << 20
 
@@ -42,11 +44,11 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def doc_key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(text_key(), 2) + F.lit(-(2**63)))
 
 
 def text_key() -> Column:
-    """Hash of a row's text, as keyed() has it: with doc_key() it tells rows apart that share an id, or have none."""
+    """Hash of a row's text, as keyed() has it: with doc_key() it tells rows apart that share an id."""
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
@@ -57,19 +59,26 @@ def met(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def as_id(col: str = "doc") -> Column:
-    return F.nullif(F.col(col), F.lit(NULL_ID)).alias("doc_id")
+    return F.when(F.col(col) >= NO_ID, F.col(col)).alias("doc_id")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc, part, text): one row per row of docs; other columns are left out, a null text is empty."""
+    """(doc, part, copies, text): a row for each document, with how many rows have it; other columns are left out, a null
+    text is empty."""
     own = docs.select(doc_key().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     twice = own.groupBy("doc").count().where("count > 1").select("doc")
     if twice.limit(1).count() == 0:
-        return own.select("doc", F.lit(0).alias("part"), "text")
-    own = own.withColumn("th", F.xxhash64("text"))
-    parts = own.join(twice, "doc", "left_semi").select("doc", "th").distinct()
-    parts = parts.withColumn("part", F.row_number().over(Window.partitionBy("doc").orderBy("th")) - 1)
-    return own.join(parts, ["doc", "th"], "left").select("doc", F.coalesce("part", F.lit(0)).alias("part"), "text")
+        return own.select("doc", F.lit(0).alias("part"), F.lit(1).alias("copies"), "text")
+    alone = own.join(twice, "doc", "left_anti").select("doc", F.lit(0).alias("part"), F.lit(1).alias("copies"), "text")
+    shared = own.join(twice, "doc", "left_semi").groupBy("doc", F.xxhash64("text").alias("th"))
+    shared = written(shared.agg(F.first("text").alias("text"), F.count("*").cast("int").alias("copies")))
+    # Texts of one id are numbered within ranges of their hashes, so that no task has all of an id.
+    ranges = shared.groupBy("doc", F.shiftright("th", 54).alias("range")).count()
+    before = ranges.withColumn("before", F.sum("count").over(Window.partitionBy("doc").orderBy("range")) - F.col("count")).drop("count")
+    number = F.row_number().over(Window.partitionBy("doc", "range").orderBy("th")) - 1
+    parts = shared.select("doc", "th", F.shiftright("th", 54).alias("range")).withColumn("number", number).join(before, ["doc", "range"])
+    parts = parts.select("doc", "th", (F.col("number") + F.col("before")).cast("int").alias("part"))
+    return alone.unionByName(shared.join(parts, ["doc", "th"]).select("doc", "part", "copies", "text"))
 
 
 def squeeze(texts: list[bytes]) -> list[bytes]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, Rolling, as_id, chunks, doc_key, mix, spread, squeeze, table, unsqueeze
+from .common import Rolling, as_id, chunks, doc_key, mix, spread, squeeze, table, unsqueeze
 from .repeats import BYTE
 
 LEAST, NORMAL, MOST = 32, 96, 512
@@ -126,7 +126,7 @@ def successors(docs: DataFrame) -> DataFrame:
     parts = spread(docs.sparkSession)
     n = 4 * parts  # several ranges a task, so that tasks are alike
     own = docs.select(doc_key().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds = np.array(sorted({int(q) for q in own.where(f"doc > {NULL_ID}").approxQuantile("doc", [k / n for k in range(1, n)], 0.2 / n)} if n > 1 else set()), np.int64)
+    bounds = np.array(sorted({int(q) for q in own.approxQuantile("doc", [k / n for k in range(1, n)], 0.2 / n)} if n > 1 else set()), np.int64)
 
     def lowest(batches):
         for b in batches:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_id, doc_key, met, table, text_key, written
+from .common import NO_ID, as_id, doc_key, met, table, text_key, written
 
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS, TEMPER, KEEP, CELLS = 30, 0.7, 0.85, 200_000
@@ -132,7 +132,7 @@ def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float =
     meet = F.lit(True)
     for d in DIMENSIONS:
         meet = meet & F.col(d).eqNullSafe(F.col(f"{d}_"))
-    draw = F.when(F.col("doc") == NULL_ID, F.xxhash64(F.lit(seed), F.col("doc"), F.col("th"))).otherwise(F.xxhash64(F.lit(seed), F.col("doc")))
+    draw = F.when(F.col("doc") < NO_ID, F.xxhash64(F.lit(seed), F.col("doc"), F.col("th"))).otherwise(F.xxhash64(F.lit(seed), F.col("doc")))
     u = F.shiftrightunsigned(draw, 11) / F.lit(float(1 << 53))
     out = own.join(F.broadcast(found) if few else found, meet)
     return out.withColumn("selected", u < F.col("probability")).select("doc", "th", *DIMENSIONS, "n_tokens", "weight", "probability", "selected")

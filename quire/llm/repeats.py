@@ -5,29 +5,38 @@ A window is `size` neighbouring symbols of one document; a symbol is a word or a
 anchors at the same place, and neighbouring windows mostly share theirs, so the windows of a document fall into few
 maximal runs, called *phrases*: all windows governed by one anchor, with the text they cover. Five steps follow.
 
-1. ``phrases``: each chunk of documents gives its phrases; those that repeat within the chunk are settled there.
-2. ``dictionary``: phrases meet by anchor hash. Whole phrases that repeat are settled; where one anchor governs
-   different phrases, one of each kind is asked for.
-3. ``texts_asked``: the documents give the texts of those phrases. Under a very frequent anchor the phrases are cut to
-   single windows, dealt out by all of their text, so that no group is larger than memory.
-4. a method's own step (suffix subtrees or the dictionary's suffix array) compares them window by window.
+1. ``phrases``: each task gives its documents' phrases, equal ones but once (the others are settled there).
+2. ``dictionary``: phrases meet by the prefix of `gram` symbols at their anchor, in the order of prefix, phrase and
+   place. Equal phrases become one; a prefix with different phrases asks for the text of each. Beyond that, a prefix with
+   one phrase has no two equal windows, as an anchor lies at different places of the windows that it governs.
+3. ``texts_asked``: the documents give the texts of those phrases. Prefixes with more than `hot` phrases lengthen: their
+   phrases are cut to single windows, dealt out by the first half, three quarters or all of their own symbols, whichever
+   first holds no more than `crowd` windows.
+4. a method's own structure (suffix trees or the dictionary's suffix array) says of each window whether it repeats.
 5. ``by_document``: each document meets its removed ranges.
 
+All steps but the third take rows in the order of their groups and hold a bounded slice of them; a group that is larger
+consists of equal phrases or windows, of which it is enough to keep the first beside the others. Equal phrases are told
+by two 64-bit hashes (of prefix and text); windows by their symbols.
+
 Order counts if `first` is set: then a window goes only if an equal one starts at a smaller (doc, position).
-Positions hold the part of a doc_id above bit 40, so that (doc, position) orders windows as (doc, part, start).
+Positions hold the part of a doc_id above bit 32, so that (doc, position) orders windows as (doc, part, start).
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Rolling, chunks, flat, gathered, mix, signed, sliding_min, spread, squeeze, unsqueeze, word_hash, words, written
+from .common import CHUNK_BYTES, Rolling, chunks, flat, mix, signed, sliding_min, spread, squeeze, unsqueeze, word_hash, words, written
 
-PART = 40
+PART = 32
 AT = (1 << PART) - 1
 U = np.uint64
 
@@ -40,9 +49,17 @@ class Windows:
     size: int
     gram: int
     first: bool
-    #: Phrases under one anchor above which they are cut to single windows.
+    #: Phrases of one prefix above which they are cut to single windows; windows of one longer prefix above which it lengthens.
     hot: int = 2000
+    crowd: int = 4000
     chunk: int = CHUNK_BYTES
+    #: Rows of phrases, and of texts, that are held at once.
+    rows: int = 400_000
+    texts: int = 5000
+
+    def prefixes(self) -> tuple[int, int]:
+        """The lengths between `gram` and `size` to which prefixes lengthen."""
+        return max(1, self.size // 2), max(1, self.size * 3 // 4)
 
 
 # Fixed random 64-bit numbers for the 256 byte values, from their rule.
@@ -54,8 +71,8 @@ PHRASE_DDL = "key long, fp long, doc long, pos long, n int, d int"
 GONE = -1
 ASKED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("n", pa.int32()), ("d", pa.int32())])
 ASKED_DDL = "kind int, key long, doc long, pos long, n int, d int"
-TEXT = pa.schema([("g", pa.int64()), ("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("n", pa.int32()), ("d", pa.int32()), ("text", pa.binary())])
-TEXT_DDL = "g long, key long, doc long, pos long, n int, d int, text binary"
+TEXT = pa.schema([("g", pa.int64()), ("g2", pa.int64()), ("g1", pa.int64()), ("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("n", pa.int32()), ("d", pa.int32()), ("text", pa.binary())])
+TEXT_DDL = "g long, g2 long, g1 long, key long, doc long, pos long, n int, d int, text binary"
 RANGE = pa.schema([("doc", pa.int64()), ("pos", pa.int64()), ("n", pa.int32())])
 RANGE_DDL = "doc long, pos long, n int"
 
@@ -124,10 +141,36 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def places(w: Windows, order: np.ndarray, key, fp, doc, pos) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in the order of (key, fp, doc, pos): where each phrase has its first, and the rows whose windows all go.
+
+    One document's row may come twice; it is one place then.
+    """
+    lead = np.flatnonzero(differs(order, key, fp))
+    other = differs(order, key, fp, doc, pos)
+    first = np.zeros(len(order), bool)
+    first[lead] = True
+    if w.first:
+        return lead, order[other & ~first]
+    many = np.add.reduceat(other.astype(np.int64), lead) > 1 if len(lead) else lead.astype(bool)
+    return lead, order[other & np.repeat(many, np.diff(np.append(lead, len(order))))]
+
+
 def phrases(docs: DataFrame, w: Windows) -> DataFrame:
     """Rows of PHRASE for (doc, part, text) rows."""
 
+    def settled(held):
+        key, fp, doc, pos, n, d = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((pos, doc, fp, key))
+        lead, gone = places(w, order, key, fp, doc, pos)
+        keep = order[lead]
+        yield _batch(PHRASE, signed(key[keep]), signed(fp[keep]), doc[keep], pos[keep], n[keep], d[keep])
+        if len(gone):
+            gd, gp, gn = joined_ranges(doc[gone], pos[gone], n[gone], w.size)
+            yield _batch(PHRASE, signed(mix(gd.astype(U))), np.zeros(len(gd), np.int64), gd, gp, gn, np.full(len(gd), GONE))
+
     def run(batches):
+        held = []
         for b in chunks(batches, most=w.chunk):
             buf, off = flat(b.column("text"))
             sym, at, _, _ = symbols(w, buf, off)
@@ -140,82 +183,115 @@ def phrases(docs: DataFrame, w: Windows) -> DataFrame:
             pos = (b.column("part").to_numpy().astype(np.int64)[row] << PART) + lo - at[row]
             d = a - lo
             fp = mix(roll.of(lo, lo + n + w.size - 1) + mix(d.astype(U) * U(1 << 32) + n.astype(U)))
-            order = np.lexsort((pos, doc, fp, key))
-            same_text = differs(order, key, fp)
-            # One row of the input may come twice; it is the same document then.
-            other = differs(order, key, fp, doc, pos)
-            lead = np.flatnonzero(same_text)
-            many = np.add.reduceat(other.astype(np.int64), lead) > 1
-            which = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(order))))
-            gone = order[(~same_text & other) if w.first else (other & many[which])]
-            keep = order[lead]
-            yield _batch(PHRASE, signed(key[keep]), signed(fp[keep]), doc[keep], pos[keep], n[keep], d[keep])
-            if len(gone):
-                gd, gp, gn = joined_ranges(doc[gone], pos[gone], n[gone], w.size)
-                yield _batch(PHRASE, signed(mix(gd.astype(U))), np.zeros(len(gd), np.int64), gd, gp, gn, np.full(len(gd), GONE))
+            held.append((key, fp, doc, pos, n.astype(np.int32), d.astype(np.int32)))
+            if sum(len(x[0]) for x in held) >= w.rows:
+                yield from settled(held)
+                held = []
+        if held:
+            yield from settled(held)
 
     return docs.mapInArrow(run, PHRASE_DDL)
 
 
-def columns(batches, schema: pa.Schema) -> list[np.ndarray]:
-    t = gathered(batches, schema)
-    return [t.column(name).to_numpy() for name in schema.names]
+def slices(batches, schema: pa.Schema, group: str, kind: str, most: int):
+    """Sorted rows in tables of `most` rows at most, each with whether it holds a part of one group only.
 
+    Groups stay whole up to that many rows. A larger one is parted between its kinds, and a larger kind anywhere, its first
+    row going before the others once more.
+    """
 
-def dictionary(found: DataFrame, w: Windows) -> DataFrame:
-    """Rows of ASKED: kind 0 are ranges of windows that go, kind 1 and 2 (hot anchors) are phrases whose text is asked for."""
+    def edge(column) -> int:
+        """Where the last value begins among the first `most` rows and the one after; 0 if there is but one."""
+        v = column[: most + 1].to_numpy()
+        found = np.flatnonzero(v[1:] != v[:-1])
+        return int(found[-1]) + 1 if len(found) else 0
 
-    def run(batches):
-        key, fp, doc, pos, n, d = columns(batches, PHRASE)
-        plain = d != GONE
-        if not plain.all():
-            x = joined_ranges(doc[~plain], pos[~plain], n[~plain], w.size)
-            yield _batch(ASKED, np.zeros(len(x[0])), np.zeros(len(x[0])), *x, np.zeros(len(x[0])))
-            key, fp, doc, pos, n, d = (c[plain] for c in (key, fp, doc, pos, n, d))
-        if not len(key):
-            return
-        order = np.lexsort((pos, doc, fp, key))
-        text, other, anchor = differs(order, key, fp), differs(order, key, fp, doc, pos), differs(order, key)
-        lead = np.flatnonzero(text)
-        which = np.cumsum(text) - 1
-        many = np.add.reduceat(other.astype(np.int64), lead) > 1
-        gone = order[(~text & other) if w.first else (other & many[which])]
-        if len(gone):
-            x = joined_ranges(doc[gone], pos[gone], n[gone], w.size)
-            yield _batch(ASKED, np.zeros(len(x[0])), np.zeros(len(x[0])), *x, np.zeros(len(x[0])))
-        kinds = np.add.reduceat(text.astype(np.int64), np.flatnonzero(anchor))
-        kinds = kinds[(np.cumsum(anchor) - 1)[lead]]
-        ask = lead[kinds > 1]
-        if len(ask):
-            r = order[ask]
-            hot = 1 + (kinds[kinds > 1] > w.hot)
-            yield _batch(ASKED, hot, key[r], doc[r], pos[r], n[r], d[r])
+    held, fresh, parted = schema.empty_table(), [], None
+    for b in chain(batches, [None]):
+        if b is not None:
+            fresh.append(b)
+            if held.num_rows + sum(x.num_rows for x in fresh) <= most:
+                continue
+        held = pa.concat_tables([held, pa.Table.from_batches(fresh, schema)]).combine_chunks()
+        fresh = []
+        while held.num_rows > (0 if b is None else most):
+            v = held.column(group).to_numpy()
+            own = int(np.argmax(v != v[0])) or len(v)
+            parted = parted if v[0] == parted else None
+            if parted is None and own <= most:
+                at = len(v) if len(v) <= most else edge(held.column(group))
+                yield held.slice(0, at), False
+            elif own <= most:
+                at = own
+                yield held.slice(0, at), True
+            else:
+                parted = v[0]
+                at = edge(held.column(kind)) or most
+                yield held.slice(0, at), True
+                if held.column(kind)[at - 1] == held.column(kind)[at]:
+                    held = pa.concat_tables([held.slice(0, 1), held.slice(at)]).combine_chunks()
+                    continue
+            held = held.slice(at)
+
+
+def columns(t: pa.Table, *names: str) -> list[np.ndarray]:
+    return [t.column(name).to_numpy() for name in names]
 
-    return found.repartition(spread(found.sparkSession), "key").mapInArrow(run, ASKED_DDL)
 
+def dictionary(found: DataFrame, w: Windows) -> DataFrame:
+    """Rows of ASKED: kind 0 are ranges of windows that go, kind 1 and 2 (of prefixes that must lengthen) are phrases whose text is asked for."""
+
+    def run(batches):
+        for t, part in slices(batches, PHRASE, "key", "fp", w.rows):
+            key, fp, doc, pos, n, d = columns(t, *PHRASE.names)
+            said = d == GONE
+            if said.any():
+                x = joined_ranges(doc[said], pos[said], n[said], w.size)
+                yield _batch(ASKED, np.zeros(len(x[0])), np.zeros(len(x[0])), *x, np.zeros(len(x[0])))
+                key, fp, doc, pos, n, d = (c[~said] for c in (key, fp, doc, pos, n, d))
+            lead, gone = places(w, np.arange(len(key)), key, fp, doc, pos)
+            if len(gone):
+                x = joined_ranges(doc[gone], pos[gone], n[gone], w.size)
+                yield _batch(ASKED, np.zeros(len(x[0])), np.zeros(len(x[0])), *x, np.zeros(len(x[0])))
+            many = np.flatnonzero(differs(lead, key))
+            many = np.diff(np.append(many, len(lead)))
+            many = np.repeat(many, many)  # phrases of the prefix of each
+            kind = np.full(len(lead), 2) if part else (many > 1) + (many > w.hot)
+            ask = lead[kind > 0]
+            if len(ask):
+                yield _batch(ASKED, kind[kind > 0], key[ask], doc[ask], pos[ask], n[ask], d[ask])
 
-SIDE = "doc long, part int, kind int, key long, pos long, n int, d int, text binary"
+    met = found.repartition(spread(found.sparkSession), "key").sortWithinPartitions("key", "fp", "doc", "pos")
+    return met.mapInArrow(run, ASKED_DDL)
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(doc, part, text) with compressed texts, for a shuffle."""
+    """(doc, part, copies, text) with compressed texts, for a shuffle."""
 
     def run(batches):
         for b in chunks(batches):
             texts = b.column("text").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("part"), pa.array(squeeze(texts), pa.binary())], ["doc", "part", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("part"), b.column("copies"), pa.array(squeeze(texts), pa.binary())], ["doc", "part", "copies", "text"])
 
-    return docs.mapInArrow(run, "doc long, part int, text binary")
+    return docs.mapInArrow(run, "doc long, part int, copies int, text binary")
 
 
 def beside(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Documents (kind -1) and rows (key, doc, pos, n, d, kind) in the same partitions, each document before its rows."""
-    left = packed(docs).selectExpr("doc", "part", "-1 AS kind", "0L AS key", "0L AS pos", "0 AS n", "0 AS d", "text")
+    left = packed(docs).selectExpr("doc", "part", "-1 AS kind", "0L AS key", "0L AS pos", "copies AS n", "0 AS d", "text")
     right = rows.selectExpr("doc", f"CAST(shiftright(pos, {PART}) AS INT) AS part", "kind", "key", "pos", "n", "d", "CAST(NULL AS BINARY) AS text")
-    both = left.unionByName(right).repartition(spread(docs.sparkSession), "doc")
+    both = left.unionByName(right).repartition(spread(docs.sparkSession), "doc", "part")
     return both.sortWithinPartitions("doc", "part", "kind")
 
 
+#: Bytes of a word above which its digest stands for it; no UTF-8 text has the byte 255.
+LONG = 64
+
+
+def brief(word: bytes) -> bytes:
+    return word if len(word) <= LONG else b"\xff" + hashlib.blake2b(word, digest_size=16).hexdigest().encode()
+
+
 def texts_asked(docs: DataFrame, asked: DataFrame, w: Windows) -> DataFrame:
     """Rows of TEXT for kinds 1 and 2 of `asked`; windows under hot anchors are settled within a batch first (n < 0 says: gone)."""
 
@@ -253,10 +329,11 @@ def texts_asked(docs: DataFrame, asked: DataFrame, w: Windows) -> DataFrame:
             j = np.arange(len(each)) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
             more = (key[each], doc[each], pos[each] + j, np.ones(len(each), np.int32), (d[each] - j).astype(np.int32), lo[each] + j)
             key, doc, pos, n, d, lo = (np.concatenate((c[~hot], m)) for c, m in zip((key, doc, pos, n, d, lo), more, strict=True))
-            sym = BYTE[buf] if w.unit == "byte" else word_hash(buf, s, e)
+            roll = Rolling(BYTE[buf] if w.unit == "byte" else word_hash(buf, s, e))
             single = np.arange(len(key)) >= (~hot).sum()
-            fp = np.where(single, Rolling(sym).of(lo, lo + w.size), U(0))
+            fp = np.where(single, roll.of(lo, lo + w.size), U(0))
             g = np.where(single, mix(fp + key.view(U)), key.view(U))
+            g1, g2 = (np.where(single, mix(roll.of(lo, lo + length) + U(length)) | U(1), U(0)) for length in w.prefixes())
             order = np.lexsort((pos, doc, fp, d, key, ~single))
             order = order[single[order]]
             text, other = differs(order, key, d, fp), differs(order, key, d, fp, doc, pos)
@@ -265,62 +342,71 @@ def texts_asked(docs: DataFrame, asked: DataFrame, w: Windows) -> DataFrame:
             gone = order[(~text & other) if w.first else (other & many[np.cumsum(text) - 1])]
             if len(gone):
                 x = joined_ranges(doc[gone], pos[gone], n[gone], w.size)
-                yield _batch(TEXT, signed(mix(x[0].astype(U))), np.zeros(len(x[0])), *x, np.full(len(x[0]), GONE), [None] * len(x[0]))
+                none = np.zeros(len(x[0]))
+                yield _batch(TEXT, signed(mix(x[0].astype(U))), none, none, none, *x, np.full(len(x[0]), GONE), [None] * len(x[0]))
             keep = np.concatenate((np.flatnonzero(~single), order[lead]))
-            g, key, doc, pos, n, d, lo = (c[keep] for c in (g, key, doc, pos, n, d, lo))
+            g, g2, g1, key, doc, pos, n, d, lo = (c[keep] for c in (g, g2, g1, key, doc, pos, n, d, lo))
         else:
             g = key.view(U)
+            g1 = g2 = np.zeros(len(key), U)
         hi = lo + n + w.size - 1
         x, y = (lo, hi) if w.unit == "byte" else (s[lo], e[hi - 1])
         raw = buf.tobytes()
-        yield _batch(TEXT, signed(g), key, doc, pos, n, d, pa.array([raw[p:q] for p, q in zip(x.tolist(), y.tolist())], pa.binary()))
+        texts = [raw[p:q] for p, q in zip(x.tolist(), y.tolist())]
+        if w.unit == "word":
+            long = np.concatenate(([0], np.cumsum(e - s > LONG)))
+            for k in np.flatnonzero(long[hi] > long[lo]).tolist():
+                texts[k] = b" ".join(brief(raw[p:q]) for p, q in zip(s[lo[k] : hi[k]].tolist(), e[lo[k] : hi[k]].tolist()))
+        yield _batch(TEXT, signed(g), signed(g2), signed(g1), key, doc, pos, n, d, pa.array(texts, pa.binary()))
 
     return beside(docs, asked.where("kind > 0")).mapInArrow(run, TEXT_DDL)
 
 
-def phrase_windows(w: Windows, text, n: np.ndarray):
-    """Rolling hashes over the texts of phrases; for each of their windows the phrase and the start among the symbols."""
-    buf, off = flat(text)
-    sym, at, _, _ = symbols(w, buf, off)
+def dealt(texts: DataFrame, w: Windows) -> DataFrame:
+    """texts with g the hash of each single window's shortest prefix that no more than `crowd` windows share, or of all of it."""
+    own = texts.where("g1 <> 0")
+    for g in ("g1", "g2"):
+        over = own.groupBy(g).count().where(f"count > {w.crowd}").select(g, F.lit(True).alias(f"over_{g}"))
+        own = own.join(over, g, "left")
+    g = F.when(F.col("over_g1").isNull(), F.col("g1")).when(F.col("over_g2").isNull(), F.col("g2")).otherwise(F.col("g"))
+    return texts.where("g1 = 0").unionByName(own.withColumn("g", g).select(*texts.columns))
+
+
+def phrase_windows(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of phrases whose symbols begin at `at`: its phrase, its place there, and its place among all symbols."""
     row = np.repeat(np.arange(len(n)), n)
     j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    return sym, row, j, at[row] + j
+    return row, j, at[row] + j
 
 
 def removed(docs: DataFrame, w: Windows, compare) -> DataFrame:
-    """(doc, pos, n): ranges of windows that go. compare(w, key, doc, pos, n, d, text) tells of each window whether it goes."""
+    """(doc, pos, n): ranges of windows that go. compare(w, doc, pos, n, text) has a row for each phrase and tells of each
+    window, named by its phrase and its place there, whether it goes."""
     asked = written(dictionary(phrases(docs, w), w))
 
     def run(batches):
-        t = gathered(batches, TEXT)
-        g, key, doc, pos, n, d = (t.column(c).to_numpy() for c in TEXT.names[:-1])
-        said = d == GONE
-        if said.any():
-            yield _batch(RANGE, *joined_ranges(doc[said], pos[said], n[said], w.size))
-        # Groups go through in slices of bounded size; a group stays whole.
-        order = np.argsort(key, kind="stable")
-        order = order[~said[order]]
-        load = np.cumsum(n[order])
-        new = np.flatnonzero(differs(order, key))
-        i = 0
-        while i < len(new):
-            base = load[new[i] - 1] if new[i] else 0
-            k = max(i + 1, int(np.searchsorted(load[np.append(new[i + 1 :], len(order)) - 1], base + w.chunk // 4, "right")) + i)
-            part = order[new[i] : new[k] if k < len(new) else len(order)]
-            i = k
-            text = t.column("text").take(pa.array(part)).combine_chunks()
-            text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
-            row, j, goes = compare(w, key[part], doc[part], pos[part], n[part], d[part], text)
-            r = part[row[goes]]
-            yield _batch(RANGE, *joined_ranges(doc[r], pos[r] + j[goes], np.ones(len(r), np.int64), w.size))
+        for t, _ in slices(batches, TEXT, "g", "key", w.texts):
+            doc, pos, n, d = columns(t, "doc", "pos", "n", "d")
+            said = d == GONE
+            if said.any():
+                yield _batch(RANGE, *joined_ranges(doc[said], pos[said], n[said], w.size))
+            own = np.flatnonzero(~said)
+            if len(own):
+                text = t.column("text").take(pa.array(own)).combine_chunks()
+                row, j, goes = compare(w, doc[own], pos[own], n[own].astype(np.int64), text.chunk(0) if isinstance(text, pa.ChunkedArray) else text)
+                r = own[row[goes]]
+                yield _batch(RANGE, *joined_ranges(doc[r], pos[r] + j[goes], np.ones(len(r), np.int64), w.size))
 
     texts = texts_asked(docs, asked, w)
-    late = texts.repartition(spread(docs.sparkSession), "g").mapInArrow(run, RANGE_DDL)
-    return asked.where("kind = 0").select("doc", "pos", "n").unionByName(late)
+    if asked.where("kind = 2").limit(1).count():
+        texts = dealt(written(texts), w)
+    met = texts.repartition(spread(docs.sparkSession), "g").sortWithinPartitions("g", "key", "doc", "pos")
+    return asked.where("kind = 0").select("doc", "pos", "n").unionByName(met.mapInArrow(run, RANGE_DDL))
 
 
 def by_document(docs: DataFrame, gone: DataFrame, w: Windows, finish, schema: pa.Schema, ddl: str) -> DataFrame:
-    """finish(doc, text, removed ranges of symbols) -> row of schema, for each row of docs."""
+    """finish(doc, text, removed ranges of symbols) -> row of schema, for each row of docs, as often as it has copies."""
+    schema, ddl = pa.schema([("__copies", pa.int32()), *schema]), f"__copies int, {ddl}"
 
     def rows(batches):
         now, blobs, ranges = None, [], []
@@ -334,7 +420,7 @@ def by_document(docs: DataFrame, gone: DataFrame, w: Windows, finish, schema: pa
                 if (doc[i], part[i]) != now:
                     yield from ready(now, blobs, ranges)
                     now, blobs, ranges = (doc[i], part[i]), [], []
-                blobs += text.slice(i, m).to_pylist()
+                blobs += zip(text.slice(i, m).to_pylist(), n[i : i + m].tolist(), strict=True)
                 if k > i + m:
                     ranges.append((pos[i + m : k] & AT, n[i + m : k]))
         yield from ready(now, blobs, ranges)
@@ -348,8 +434,8 @@ def by_document(docs: DataFrame, gone: DataFrame, w: Windows, finish, schema: pa
             lo, hi = lo[order], np.maximum.accumulate(hi[order])
             new = np.append(True, lo[1:] > hi[:-1])
             lo, hi = lo[new], hi[np.append(np.flatnonzero(new)[1:], len(hi)) - 1]
-        for text in unsqueeze(blobs):
-            yield finish(int(now[0]), text, lo, hi)
+        for blob, copies in blobs:
+            yield (copies, *finish(int(now[0]), unsqueeze([blob])[0], lo, hi))
 
     def run(batches):
         out = []
@@ -362,4 +448,5 @@ def by_document(docs: DataFrame, gone: DataFrame, w: Windows, finish, schema: pa
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema)
 
     side = gone.selectExpr("1 AS kind", "0L AS key", "doc", "pos", "n", "0 AS d")
-    return beside(docs, side).mapInArrow(run, ddl)
+    out = beside(docs, side).mapInArrow(run, ddl)
+    return out.withColumn("__copies", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__copies")

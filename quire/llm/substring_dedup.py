@@ -1,16 +1,19 @@
-"""Substring dedup over words: anchor-partitioned windows, sorted by hash labels.
+"""Substring dedup over words: suffixes partitioned by variable-length prefixes, suffix trees of their groups.
 
-The suffixes that can matter start windows of ``size`` words. They are dealt out not by a prefix but by the anchor that
-governs the window, the least hash of a few words anywhere in it (quire.llm.repeats), so that neighbours share a group;
-where an anchor governs more than ``hot`` kinds of phrase, by a hash of the whole window. A group's suffixes, cut at
-``size`` words, are sorted by hash labels at a quarter, a half, three quarters and all of the depth, nodes being
-stretches of equal labels. Only full depth decides; no inner node is read.
-A node at full depth with several leaves is a repeat; all its leaves but the first in corpus order lose their words, and
-runs of such windows are the maximal repeats.
+Suffixes that start windows of ``size`` words count. Of the suffixes that share an anchor (quire.llm.repeats: the least
+hash of a few words in the window) one stands for the run: that which starts at the anchor, dealt out by its prefix, the
+words that were hashed. Where more than ``hot`` runs share a prefix, their suffixes are dealt out one by one by longer
+prefixes of their own: half, three quarters, or all of ``size`` words, until no more than ``crowd`` share one. Runs
+equal to the word are one path in any tree and meet before; their first in corpus order goes on.
+
+A group's suffixes, cut at ``size`` words, make a suffix tree, held as suffix array and common prefixes (Suffixes), its
+words told apart by their bytes (words of over 64 bytes by a 128-bit digest). Its deep internal nodes, those of ``size``
+words, are the repeats: their leaves are the places of one word sequence, and all but the first in corpus order lose
+their words. Neighbouring leaves' places run together to maximal repeats.
 
 Null or empty texts have no words. Rows alike in doc_id and text are one document, different texts of one doc_id are
-parts of it in hash order, a null doc_id comes before all others. Columns other than doc_id and text are not read.
-Labels are 64-bit hashes of all words up to that depth, four to a window, so that different windows are told apart.
+parts of it in hash order, rows without doc_id come before all others in hash order. Columns other than doc_id and text
+are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, as_id, keyed, met, signed, table
-from .repeats import Windows, by_document, differs, phrase_windows, removed
+from .common import as_id, flat, keyed, met, signed, table
+from .repeats import Windows, by_document, phrase_windows, removed
+from .suffixes import Suffixes, deep_nodes, word_symbols
 
 KEPT = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string()), ("th", pa.int64())])
 KEPT_DDL = "doc long, n_words long, n_removed long, kept string, kept_sha256 string, th long"
@@ -34,23 +38,21 @@ def windows(size: int = 20) -> Windows:
     return Windows("word", size, gram=max(1, size * 3 // 10), first=True)
 
 
-def subtrees(w: Windows, key, doc, pos, n, d, text):
-    """Phrase and place of each window in the groups' subtrees, and whether an equal one comes earlier in the corpus."""
-    sym, row, j, at = phrase_windows(w, text, n)
-    roll = Rolling(sym)
-    depths = sorted({max(1, w.size * q // 4) for q in (1, 2, 3)} | {w.size})
-    labels = [roll.of(at, at + depth) for depth in depths]
-    prefix, where, which = key[row], pos[row] + j, doc[row]
-    order = np.lexsort((where, which, *labels[::-1], prefix))
-    lcp = np.zeros(len(order), np.int64)  # with the leaf before, at the tree's levels
-    alike = ~differs(order, prefix)
-    for depth, label in zip(depths, labels, strict=True):
-        alike &= ~differs(order, label)
-        lcp[alike] = depth
-    goes = np.zeros(len(order), bool)
-    node = np.cumsum(lcp < w.size) - 1  # leaves under one deep node
-    lead = order[np.flatnonzero(lcp < w.size)][node]
-    goes[order] = (which[lead] != which[order]) | (where[lead] != where[order])
+def subtrees(w: Windows, doc, pos, n, text):
+    """Phrase and place of each window in the groups' suffix trees, and whether an equal one comes earlier in the corpus."""
+    rank, offsets = word_symbols(*flat(text))
+    row, j, at = phrase_windows(offsets[:-1], n)
+    place, which = pos[row] + j, doc[row]
+    # Leaves of one node come in corpus order.
+    corpus = np.lexsort((place, which))
+    tree = Suffixes(rank, 32, at[corpus], w.size)
+    leaf = corpus[tree.order]
+    first, end, _ = deep_nodes(tree.lcp, w.size)
+    node = np.repeat(np.arange(len(first)), end - first)
+    leaves = leaf[np.repeat(first, end - first) + np.arange(len(node)) - np.repeat(np.cumsum(end - first) - (end - first), end - first)]
+    lead = leaf[first][node]
+    goes = np.zeros(len(row), bool)
+    goes[leaves] = (which[lead] != which[leaves]) | (place[lead] != place[leaves])
     return row, j, goes
 
 

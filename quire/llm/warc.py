@@ -22,8 +22,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, table, written
+from .common import chunks, table, written
 
+NULL_ID = -(2**63)
 FRAME, BUNDLE, SAME = 64 << 10, 4 << 20, 100
 # Fixed values of the seekable format: skippable frame's magic number, seek table's magic number.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1

@@ -1,9 +1,10 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from quire.llm import simhash
+from quire.llm import common, simhash, suffixes
 from quire.llm.substring_dedup import op1_substring_dedup, substring_dedup
 from quire.llm.suffix_array_dedup import op4_suffix_array_dedup, suffix_array_dedup
 
@@ -72,14 +73,16 @@ def test_op4_odd_rows(spark):
     assert got == brute_bytes(list(enumerate(texts)))
 
 
-def test_hot_anchors_are_cut_to_windows(spark, monkeypatch):
+@pytest.mark.parametrize(("crowd", "rows"), [(10, 50), (3, 7), (1, 2)])
+def test_hot_prefixes_lengthen(spark, monkeypatch, crowd, rows):
     from quire.llm import substring_dedup as one
     from quire.llm import suffix_array_dedup as four
     from quire.llm.repeats import Windows
 
     texts = [f"left{i} " + PASSAGE + f" right{i} more{i}" for i in range(40)] + ["t" * 250, "u" * 250 + "t" * 210]
-    monkeypatch.setattr(one, "windows", lambda size=20: Windows("word", size, 6, True, hot=5))
-    monkeypatch.setattr(four, "windows", lambda size=200: Windows("byte", size, 24, False, hot=5))
+    monkeypatch.setattr(one, "windows", lambda size=20: Windows("word", size, 6, True, hot=5, crowd=crowd, rows=rows, texts=20))
+    monkeypatch.setattr(four, "windows", lambda size=200: Windows("byte", size, 24, False, hot=5, crowd=crowd, rows=rows, texts=20))
+    texts += [f"far{i} " + PASSAGE + f" away{i}" for i in range(9)] * 2 + [" ".join(["long" * 30, f"x{i % 4}", *["é" * 40 + str(k) for k in range(25)]]) for i in range(12)]
     docs = documents(spark, texts).repartition(3)
     got = {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in by_id(substring_dedup(docs)).items()}
     assert got == brute_words(list(enumerate(texts)))
@@ -94,6 +97,18 @@ def test_shared_and_null_ids(spark):
     assert sorted(got, key=str) == sorted([(None, 0), (5, 30), (5, 30), (5, 30)], key=str)
 
 
+def test_many_rows_without_id_and_of_one_id(spark):
+    texts = [f"a{i} {PASSAGE} z{i}" for i in range(40)]
+    docs = documents(spark, [*texts, *texts[:10], "", "", None], ids=[None] * 20 + [7] * 20 + [None] * 5 + [7] * 5 + [None, 7, None])
+    own = common.keyed(docs).collect()
+    assert sorted(r.copies for r in own) == [1] * 41 + [2] * 6 and all(r.part == 0 or r.doc == 7 for r in own)
+    gone = brute_words([((r.doc, r.part), r.text) for r in own])
+    want = Counter()
+    for r in own:
+        want[7 if r.doc == 7 else None, *gone[r.doc, r.part]] += r.copies
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(docs).collect()) == want
+
+
 def test_empty_tables(spark):
     none = documents(spark, ["x"]).where("false")
     assert substring_dedup(none).count() == 0
@@ -101,6 +116,67 @@ def test_empty_tables(spark):
     assert simhash.simhash_near_dups(none).count() == 0
 
 
+@pytest.mark.parametrize("depth", [1, 5, 7, 20, 33])
+def test_suffix_array_and_common_prefixes(depth):
+    rng = np.random.default_rng(depth)
+    for bits, most in ((8, 3), (32, 2), (8, 256)):
+        sym = rng.integers(0, most, 400).astype(np.int64)
+        sym[200:300] = sym[50:150]
+        places = rng.permutation(len(sym) - depth + 1)[:300]
+        found = suffixes.Suffixes(sym, bits, places, depth)
+        own = [tuple(sym[p : p + depth]) for p in places]
+        want = sorted(range(len(places)), key=lambda k: own[k])
+        assert found.order.tolist() == want
+        shared = [0] + [next((k for k in range(depth) if own[a][k] != own[b][k]), depth) for a, b in zip(want[:-1], want[1:])]
+        assert found.lcp.tolist() == shared
+        for d in (1, max(1, depth // 2), depth):
+            groups = {}
+            for k, place in enumerate(want):
+                groups.setdefault(own[place][:d], []).append(k)
+            nodes = [(g[0], g[-1] + 1) for g in groups.values() if len(g) > 1]
+            first, end, parent = suffixes.deep_nodes(found.lcp, d)
+            assert list(zip(first.tolist(), end.tolist())) == nodes
+            around = [*shared, 0]
+            assert parent.tolist() == [max(around[a], around[b]) for a, b in nodes] and all(x < d for x in parent)
+
+
+def test_words_rank_as_their_bytes():
+    import pyarrow as pa
+
+    from quire.llm.common import flat
+
+    texts = ["b a\tc a", "", "  ", "é a zz\n", "a"]
+    rank, at = suffixes.word_symbols(*flat(pa.array(texts, pa.string())))
+    own = [w for t in texts for w in t.encode().split()]
+    assert rank.tolist() == [sorted(set(own)).index(w) for w in own] and at.tolist() == [0, 4, 4, 4, 7, 8]
+
+
+def test_slices_keep_groups_and_share_first_rows():
+    import pyarrow as pa
+
+    from quire.llm import repeats
+
+    schema = pa.schema([("g", pa.int64()), ("k", pa.int64()), ("v", pa.int64())])
+    rng = np.random.default_rng(2)
+    for most in (2, 3, 10, 1000):
+        g = np.sort(rng.integers(0, 12, 300) ** 2)
+        k = np.concatenate([np.sort(rng.integers(0, 3, (g == x).sum())) for x in np.unique(g)])
+        t = pa.table([pa.array(g), pa.array(k), pa.array(np.arange(300))], schema=schema)
+        seen = set()
+        for part, open_ in repeats.slices(t.to_batches(max_chunksize=7), schema, "g", "k", most):
+            rows = part.to_pylist()
+            assert len(rows) <= most and (not open_ or len({r["g"] for r in rows}) == 1)
+            for x in {r["g"] for r in rows}:
+                assert open_ == ((g == x).sum() > most)
+            if open_:  # a later row of a kind comes with an earlier one
+                for r in rows:
+                    assert r["v"] not in seen or rows[0]["v"] == r["v"]
+                for x in {r["k"] for r in rows}:
+                    assert not any(r["k"] == x and r["v"] not in seen and any(k[y] == x and g[y] == r["g"] for y in seen) for r in rows) or any(r["k"] == x and r["v"] in seen for r in rows)
+            seen |= {r["v"] for r in rows}
+        assert seen == set(range(300))
+
+
 def brute_simhash(rows, width=3, bits=2):
     import xxhash
 
