@@ -17,6 +17,8 @@ than doc_id, text, source and lang are not read.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ END = (UNIT + 1) << 32
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """(doc, size, text_crc32, salt, c0..c3): what the tree is made of, without texts."""
+    """(doc, size, text_crc32, salt, node, c0..c3): what the tree is made of, without texts; all start at the root, node 1."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(
         doc_key().alias("doc"),
@@ -52,12 +54,14 @@ def points(docs: DataFrame) -> DataFrame:
         return F.coalesce(F.greatest(F.lit(0), F.least(part, F.lit(UNIT))), F.lit(0)).cast("long")
 
     dims = [scaled("x0"), scaled("x1"), F.col("source"), F.col("lang")]
-    return own.select("doc", "size", "text_crc32", "salt", *[(x * F.lit(1 << 32) + F.col("salt")).alias(f"c{i}") for i, x in enumerate(dims)])
+    return own.select("doc", "size", "text_crc32", "salt", F.lit(1).cast("long").alias("node"), *[(x * F.lit(1 << 32) + F.col("salt")).alias(f"c{i}") for i, x in enumerate(dims)])
 
 
 def as_table(like: DataFrame, rows: list[tuple], ddl: str) -> DataFrame:
     """rows of the driver, one for each node: a broadcast side whose size is that of the tree, not of the data."""
-    return F.broadcast(like.sparkSession.createDataFrame(rows, ddl))
+    names = [c.split()[0] for c in ddl.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return F.broadcast(like.sparkSession.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{ddl.replace(' ', ':')}>>".replace(",:", ", ")))))
 
 
 def medians(level: DataFrame, nodes: dict[int, float], leaf: float) -> dict[int, int]:
@@ -91,7 +95,7 @@ def medians(level: DataFrame, nodes: dict[int, float], leaf: float) -> dict[int,
 def tree(pts: DataFrame, leaves: int) -> DataFrame:
     """pts with shard, the leaf of each row; leaves are numbered from left to right."""
     places = [f"c{i}" for i in range(len(DIMENSIONS))]
-    placed = pts.withColumn("node", F.lit(1).cast("long"))
+    placed = pts
     share = {1: (0, leaves)}  # node: its first leaf and how many it has
     total = pts.agg(F.sum("size")).first()[0] or 0
     along = lambda: F.array(*places)[F.col("dim")]
@@ -106,7 +110,7 @@ def tree(pts: DataFrame, leaves: int) -> DataFrame:
         splits = medians(placed.join(dims, "node").select("node", along().alias("c"), "size"), wanted, total / leaves)
         cuts = as_table(pts, [(k, dim[k], splits[k]) for k in inner], "node long, dim int, split long")
         child = F.when(F.col("split").isNull(), F.col("node")).otherwise(2 * F.col("node") + (along() >= F.col("split")).cast("long"))
-        placed = written(placed.join(cuts, "node", "left").withColumn("node", child).select(*pts.columns, "node"))
+        placed = written(placed.join(cuts, "node", "left").withColumn("node", child).select(*pts.columns))
         for k, (first, n) in inner.items():
             del share[k]
             share |= {2 * k: (first, n // 2), 2 * k + 1: (first + n // 2, n - n // 2)}
