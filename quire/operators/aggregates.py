@@ -150,16 +150,21 @@ def max_normalized(rows: DataFrame, column: str, into: str) -> DataFrame:
     return rows.join(F.broadcast(top)).withColumn(into, F.when(F.col("_top") > 0, F.col(column) / F.col("_top")).otherwise(0.0)).drop("_top")
 
 
-def significant_terms(tokens: DataFrame, foreground: DataFrame, most: int, least_docs: int = 2) -> DataFrame:
+def significant_terms(tokens: DataFrame, foreground: DataFrame, most: int, least_docs: int = 2, background: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """AGG-17: terms over-represented in the foreground documents by JLH: (fg - bg) * fg / bg of document shares.
 
-    tokens(doc_id, token) may repeat; document frequencies come from distinct pairs.
+    tokens(doc_id, token) may repeat; document frequencies come from distinct pairs. Where an index has its vocabulary
+    (token, docs) and its one row of documents (n) as `background`, only the foreground's words are counted.
     """
-    pairs = tokens.select("doc_id", "token").distinct()
-    fg = pairs.join(foreground.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("token").agg(F.count("*").alias("fg"))
-    bg = pairs.groupBy("token").agg(F.count("*").alias("bg"))
-    sizes = pairs.select("doc_id").distinct().agg(F.count("*").alias("bg_docs")).join(F.broadcast(foreground.agg(F.countDistinct("doc_id").alias("fg_docs"))))
-    share = fg.join(bg, "token").join(F.broadcast(sizes)).where(F.col("fg") >= least_docs)
+    chosen = foreground.select("doc_id").distinct()
+    fg = tokens.join(chosen, "doc_id", "left_semi").select("doc_id", "token").distinct().groupBy("token").agg(F.count("*").alias("fg"))
+    if background is None:
+        bg = tokens.select("doc_id", "token").distinct().groupBy("token").agg(F.count("*").alias("bg"))
+        every = tokens.agg(F.countDistinct("doc_id").alias("bg_docs"))
+    else:
+        bg, every = background[0].select("token", F.col("docs").alias("bg")), background[1].select(F.col("n").alias("bg_docs"))
+    sizes = every.join(F.broadcast(chosen.agg(F.count("*").alias("fg_docs"))))
+    share = fg.where(F.col("fg") >= least_docs).join(bg, "token").join(F.broadcast(sizes))
     f, b = F.col("fg") / F.col("fg_docs"), F.col("bg") / F.col("bg_docs")
     return share.withColumn("score", (f - b) * f / b).where("score > 0").orderBy(F.desc("score"), "token").limit(most).select("token", "fg", "bg", "score")
 

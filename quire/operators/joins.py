@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def bridged(left: DataFrame, bridge: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """JON-01."""
@@ -101,15 +103,16 @@ def shared_neighbours(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     return ranked.where("n = 1 AND (next IS NULL OR next < count)").select("mention_id", "candidate", "count")
 
 
-def tree(spark, nodes: DataFrame, root: Column, node: str = "chapter_id", parent: str = "parent_id", levels: int = 50) -> DataFrame:
-    """JON-16: nodes below the roots with their depth and path, level by level; a level without rows ends it."""
-    now = nodes.where(root).select(node, F.lit(0).alias("depth"), F.array(node).alias("path"))
+def tree(spark, nodes: DataFrame, root: Column, node: str = "chapter_id", parent: str = "parent_id") -> DataFrame:
+    """JON-16: nodes below the roots with their depth and path, level by level, down to the level without rows.
+
+    Each level is written, so the next one starts from it; a node on its own path is left out, so cycles end.
+    """
+    now = written(nodes.where(root).select(node, F.lit(0).alias("depth"), F.array(node).alias("path")))
     out = now
-    for _ in range(levels):
-        now = nodes.join(now.select(F.col(node).alias(parent), "depth", "path"), parent).where(~F.array_contains("path", F.col(node)))
-        now = now.select(node, (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(node)).alias("path"))
-        if now.isEmpty():
-            break
+    while now.limit(1).count():
+        below = nodes.join(now.select(F.col(node).alias(parent), "depth", "path"), parent).where(~F.array_contains("path", F.col(node)))
+        now = written(below.select(node, (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(node)).alias("path")))
         out = out.unionByName(now)
     return out
 
@@ -121,6 +124,29 @@ def reanchored(relations: DataFrame, old: DataFrame, new: DataFrame, end: str) -
     return relations.join(way, end, "left").withColumn(end, F.col("_new")).drop("_new")
 
 
+def holding(rows: DataFrame, passages: DataFrame, text: str, passage: str, most: int = 13) -> DataFrame:
+    """Rows whose text holds a passage, both with single spaces, met by runs of words that stand inside every passage.
+
+    A passage's first and last word may be parts of longer words in a text, its inner ones are whole: the first run of
+    them is its key, as long as the shortest passage allows, and texts give all their runs of that length. Passages
+    without inner words meet all texts.
+    """
+    p = passages.withColumn("_w", F.split(passage, " ")).withColumn("_n", F.size("_w") - 2)
+    run = min(most, p.where("_n > 0").agg(F.min("_n")).first()[0] or 0)
+    inner = p.where("_n > 0").withColumn("_key", F.xxhash64(F.array_join(F.slice("_w", 2, max(run, 1)), " "))).drop("_w", "_n")
+    out = None
+    if run:
+        words = F.split(text, " ")
+        runs = F.when(F.size(words) >= run, F.transform(F.sequence(F.lit(0), F.size(words) - run), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, run), " "))))
+        met = rows.withColumn("_key", F.explode(F.array_distinct(runs))).join(inner, "_key").drop("_key")
+        out = met.where(F.contains(text, passage))
+    short = p.where("_n <= 0").drop("_w", "_n")
+    if short.limit(1).count():
+        few = rows.join(short, F.contains(text, passage))
+        out = few if out is None else out.unionByName(few)
+    return out if out is not None else rows.join(short, F.contains(text, passage))
+
+
 def containing(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """JON-18: pairs under equal keys (such as a page) of which one text holds the other."""
     return left.join(right, keys).where(F.contains(F.col(a), F.col(b)) | F.contains(F.col(b), F.col(a)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.scratch import written
 from .aggregates import facet_weights
 
 SOURCES, BY_MEANING, BY_FACET = 25, 0.7, 0.3
@@ -54,37 +55,78 @@ def personalized(affinities: DataFrame, vectors: DataFrame, doc_authors: DataFra
     return scored.withColumn("score", BY_MEANING * F.col("semantic") / top + BY_FACET * F.coalesce("facet", F.lit(0.0))).withColumn("reason", F.when(F.col("best_author").isNotNull(), "more_by_author").otherwise("for_you")).select("user_id", "doc_id", "score", "reason", "best_author")
 
 
-def by_facets(affinities: DataFrame, docs: DataFrame, doc_authors: DataFrame, doc_categories: DataFrame, limit: int) -> DataFrame:
-    """REC-04: candidates that share a facet, the first 4 * limit by id, ranked by facet score."""
-    top = favourites(affinities)
-    shared = lambda bridge, key: top.join(bridge, "doc_id").select("user_id", key).distinct().join(bridge, key).select("user_id", "doc_id")
-    every = shared(doc_authors, "author_id").unionByName(shared(doc_categories, "category_id")).distinct()
-    fresh = every.join(affinities.select("user_id", "doc_id"), ["user_id", "doc_id"], "left_anti").join(docs.select("doc_id"), "doc_id", "left_semi")
+def wanted_ranks(users: DataFrame, seen: DataFrame, more: int) -> DataFrame:
+    """(user_id, rank): of a list in order, a user who has seen n rows needs the first n + more at most."""
+    n = seen.groupBy("user_id").agg(F.count("*").alias("n"))
+    return users.join(n, "user_id", "left").select("user_id", F.explode(F.sequence(F.lit(1), (F.coalesce("n", F.lit(0)) + more).cast("int"))).alias("rank"))
+
+
+def longest(ranks: DataFrame) -> int:
+    return ranks.agg(F.max("rank")).first()[0] or 0
+
+
+def by_facets(users: DataFrame, affinities: DataFrame, docs: DataFrame, doc_authors: DataFrame, doc_categories: DataFrame, limit: int) -> DataFrame:
+    """REC-04: candidates that share a facet, the first 4 * limit by id, ranked by facet score.
+
+    Only the heads of the facets' lists are read, as far as a user can need them: what meets is a row for each user, facet
+    and rank, however many documents a facet has.
+    """
+    mine = affinities.join(users, "user_id", "left_semi")
+    top = written(favourites(mine))
+    ranks = written(wanted_ranks(top.select("user_id").distinct(), mine, 4 * limit))
+    most = longest(ranks)
+
+    def heads(bridge: DataFrame, key: str) -> DataFrame:
+        """The first documents by id of each facet that users share, met rank by rank."""
+        liked = top.join(bridge, "doc_id").select("user_id", key).distinct()
+        order = Window.partitionBy(key).orderBy("doc_id")
+        known = bridge.join(docs.select("doc_id"), "doc_id", "left_semi").select(key, "doc_id").distinct()
+        first = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+        return liked.join(ranks, "user_id").join(first, [key, "rank"]).select("user_id", "doc_id")
+
+    every = heads(doc_authors, "author_id").unionByName(heads(doc_categories, "category_id")).distinct()
+    fresh = every.join(mine.select("user_id", "doc_id"), ["user_id", "doc_id"], "left_anti")
     cut = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("user_id").orderBy("doc_id"))).where(f"_n <= {4 * limit}").drop("_n")
-    scored = cut.join(facet_scores(affinities, cut, doc_authors, doc_categories), ["user_id", "doc_id"], "left")
+    scored = cut.join(facet_scores(mine, cut, doc_authors, doc_categories), ["user_id", "doc_id"], "left")
     return scored.select("user_id", "doc_id", F.coalesce("facet", F.lit(0.0)).alias("score"), F.when(F.col("best_author").isNotNull(), "more_by_author").otherwise("for_you").alias("reason"), "best_author")
 
 
-def _for_each(users: DataFrame, seen: DataFrame, ranked: DataFrame, reason: str, limit: int) -> DataFrame:
-    """The best of a common list that a user has not seen: a user who saw n of them needs the first n + limit at most."""
-    most = seen.groupBy("user_id").count().agg(F.max("count").alias("n")).first().n or 0
-    head = ranked.limit(most + limit)
-    rank = head.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))).where(f"_r <= {most + limit}")
-    pairs = users.select("user_id").withColumn("_k", F.lit(1)).join(F.broadcast(rank.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    fresh = pairs.join(seen.select("user_id", "doc_id"), ["user_id", "doc_id"], "left_anti")
+def from_list(users: DataFrame, affinities: DataFrame, ranked: DataFrame, reason: str, limit: int) -> DataFrame:
+    """REC-05: the best of a common list (doc_id, score) that a user has not seen.
+
+    The list is cut to what the user who saw most can need before it is numbered, and users meet it rank by rank.
+    """
+    seen = affinities.join(users, "user_id", "left_semi").select("user_id", "doc_id")
+    ranks = written(wanted_ranks(users, seen, limit))
+    head = ranked.orderBy(F.desc("score"), "doc_id").limit(longest(ranks))
+    numbered = head.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id"))).alias("l")).select(F.posexplode("l").alias("k", "x"))
+    numbered = numbered.select((F.col("k") + 1).alias("rank"), F.col("x.doc_id").alias("doc_id"), (-F.col("x.s")).alias("score"))
+    fresh = ranks.join(numbered, "rank").join(seen, ["user_id", "doc_id"], "left_anti")
     return fresh.select("user_id", "doc_id", "score", F.lit(reason).alias("reason"), F.lit(None).cast("long").alias("best_author"))
 
 
 def recommend(users: DataFrame, affinities: DataFrame, docs: DataFrame, vectors: DataFrame, doc_authors: DataFrame, doc_categories: DataFrame, limit: int = 12) -> DataFrame:
-    """REC-01, REC-05: of each user the first tier that has anything, its best `limit` (1 to 50)."""
+    """REC-01, REC-05: of each user the first tier that has anything, its best `limit` (1 to 50).
+
+    A tier is made only for users whom no tier before has served, and written, so none is made twice.
+    """
     limit = max(1, min(limit, 50))
-    liked = affinities.groupBy("doc_id").agg(F.sum("engagement_score").alias("score")).orderBy(F.desc("score"), "doc_id")
-    new = docs.select("doc_id", F.unix_timestamp("uploaded_at").cast("double").alias("score")).orderBy(F.desc("score"), "doc_id")
-    seen = affinities.select("user_id", "doc_id")
-    tiers = [personalized(affinities, vectors, doc_authors, doc_categories, limit), by_facets(affinities, docs, doc_authors, doc_categories, limit), _for_each(users, seen, liked, "popular", limit), _for_each(users, seen, new, "newest", limit)]
-    every = None
-    for k, t in enumerate(tiers):
-        t = t.join(users.select("user_id"), "user_id", "left_semi").withColumn("tier", F.lit(k))
-        every = t if every is None else every.unionByName(t)
-    first = every.withColumn("_t", F.min("tier").over(Window.partitionBy("user_id"))).where("tier = _t").drop("_t")
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "doc_id"))).where(f"rank <= {limit}")
+    left = users.select("user_id").distinct()
+    liked = affinities.groupBy("doc_id").agg(F.sum("engagement_score").alias("score"))
+    new = docs.select("doc_id", F.unix_timestamp("uploaded_at").cast("double").alias("score"))
+    tiers = [
+        lambda u: personalized(affinities.join(u, "user_id", "left_semi"), vectors, doc_authors, doc_categories, limit),
+        lambda u: by_facets(u, affinities, docs, doc_authors, doc_categories, limit),
+        lambda u: from_list(u, affinities, liked, "popular", limit),
+        lambda u: from_list(u, affinities, new, "newest", limit),
+    ]
+    out = None
+    order = Window.partitionBy("user_id").orderBy(F.desc("score"), "doc_id")
+    for k, tier in enumerate(tiers):
+        best = tier(left).withColumn("tier", F.lit(k)).withColumn("rank", F.row_number().over(order)).where(f"rank <= {limit}")
+        best = written(best)
+        out = best if out is None else out.unionByName(best)
+        left = written(left.join(best.select("user_id").distinct(), "user_id", "left_anti"))
+        if left.limit(1).count() == 0:
+            break
+    return out

@@ -1,8 +1,7 @@
 """Ranked retrieval: index rows, lexical and vector matching, blends, and search within a document.
 
-An index is a table (doc_id, field, pos, token) for each analysis, and a statistics table; both are meant to be written,
-bucketed by token. Queries semi-join their few tokens with it, so a search reads the postings of its words alone. Scope and
-gates apply before scores are ranked or cut.
+An index has the postings of each analysis, which quire.sources.index writes by buckets of words, so a search reads the
+postings of its words alone. Scope and gates apply before scores are ranked or cut.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..plans.spec import Query, Term, checked
+from ..sources.index import ANALYSES, Postings
 from .aggregates import max_normalized
 from .joins import intervals, union_scores
 from .windows import first_writers, none_of
@@ -25,8 +25,6 @@ BOOSTS = {"title": 2.0, "authors": 1.5, "categories": 1.5, "description": 1.2, "
 LEXICAL, SEMANTIC = 0.60, 0.40
 STRICT, LENIENT, LENIENT_TOP, PAGE_MARKS = 0.5, 0.3, 20, 0.25
 
-ANALYSES = {"raw": T.tokens, "exact": T.exact_tokens, "stem": T.stemmed_tokens}
-
 
 def index_rows(docs: DataFrame, doc_authors: DataFrame, authors: DataFrame, doc_categories: DataFrame, categories: DataFrame, vector_size: int, rollups: DataFrame | None = None) -> DataFrame:
     """IDX-01, SRC-01: one wide row for each document."""
@@ -41,34 +39,19 @@ def index_rows(docs: DataFrame, doc_authors: DataFrame, authors: DataFrame, doc_
     return out.join(rollups, "doc_id", "left") if rollups is not None else out
 
 
-def postings(docs: DataFrame, fields: list[str], analysis: str = "raw", key: str = "doc_id") -> DataFrame:
-    """(doc_id, field, pos, token)."""
-    def of(f):
-        value = F.array_join(F.col(f), " ") if docs.schema[f].dataType.typeName() == "array" else F.col(f)
-        return docs.select(F.col(key).alias("doc_id"), F.lit(f).alias("field"), F.posexplode(ANALYSES[analysis](value)).alias("pos", "token"))
-
-    return reduce(DataFrame.unionByName, [of(f) for f in fields])
-
-
-def lengths(posts: DataFrame) -> DataFrame:
-    """(doc_id, field, dl)."""
-    return posts.groupBy("doc_id", "field").agg(F.count("*").alias("dl"))
-
-
-def bm25(posts: DataFrame, query: list[str], keep: DataFrame | None = None, need_all: bool = False, dl: DataFrame | None = None) -> DataFrame:
+def bm25(index: Postings, query: list[str], keep: DataFrame | None = None, need_all: bool = False) -> DataFrame:
     """LEX-01, LEX-04, LEX-05: (doc_id, field, score) with each token counted once; need_all asks for every token in a field.
 
-    Document frequencies and mean lengths are over the whole index, the scope `keep` cuts scored documents only.
+    Document frequencies and mean lengths are over the whole index, the scope `keep` cuts scored documents only. The
+    postings of the query's words are all that is read.
     """
     wanted = sorted(set(query))
-    dl = lengths(posts) if dl is None else dl
-    stats = dl.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = posts.where(F.col("token").isin(wanted)).groupBy("doc_id", "field", "token").agg(F.count("*").alias("tf"))
+    tf = index.of(wanted).select("doc_id", "field", "token", "tf", "dl")
     df = tf.groupBy("field", "token").agg(F.count("*").alias("df"))
     if keep is not None:
         tf = tf.join(keep.select("doc_id"), "doc_id", "left_semi")
     # df and stats have a row for each query token and field.
-    rows = tf.join(F.broadcast(df), ["field", "token"]).join(dl, ["doc_id", "field"]).join(F.broadcast(stats), "field")
+    rows = tf.join(F.broadcast(df), ["field", "token"]).join(F.broadcast(index.stats), "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     out = rows.groupBy("doc_id", "field").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
@@ -109,22 +92,22 @@ def edits(fuzziness, word: str) -> int:
     return (0 if len(word) < 3 else 1 if len(word) <= 5 else 2) if fuzziness == "AUTO" else int(fuzziness)
 
 
-def fuzzy_vocabulary(posts: DataFrame, word: str, fuzziness="AUTO") -> DataFrame:
+def fuzzy_vocabulary(index: Postings, word: str, fuzziness="AUTO") -> DataFrame:
     """LEX-06, STR-18: words of the index within the edits of a query word; lengths are compared before distances."""
     k = edits(fuzziness, word)
-    near = posts.where(F.abs(F.length("token") - len(word)) <= k).select("token").distinct()
+    near = index.vocabulary.where(F.abs(F.length("token") - len(word)) <= k).select("token")
     return near.withColumn("distance", F.levenshtein(F.col("token"), F.lit(word), k)).where("distance >= 0")
 
 
-def phrase(posts: DataFrame, query: list[str]) -> DataFrame:
+def phrase(index: Postings, query: list[str]) -> DataFrame:
     """LEX-07: (doc_id, field, pos) where the words stand in order next to each other.
 
     Each word's place less its own offset is where the phrase would start: the phrase is there if all offsets agree.
     """
     words = F.array(*[F.struct(F.lit(w).alias("token"), F.lit(i).alias("i")) for i, w in enumerate(query)])
-    q = posts.sparkSession.range(1).select(F.explode(words).alias("q")).select("q.token", "q.i")
-    hits = posts.where(F.col("token").isin(sorted(set(query)))).join(F.broadcast(q), "token")
-    starts = hits.select("doc_id", "field", (F.col("pos") - F.col("i")).alias("pos"), "i")
+    q = index.rows.sparkSession.range(1).select(F.explode(words).alias("q")).select("q.token", "q.i")
+    hits = index.of(query).join(F.broadcast(q), "token").select("doc_id", "field", "i", F.explode("places").alias("at"))
+    starts = hits.select("doc_id", "field", (F.col("at") - F.col("i")).alias("pos"), "i")
     return starts.groupBy("doc_id", "field", "pos").agg(F.countDistinct("i").alias("n")).where(f"n = {len(query)}").drop("n")
 
 
@@ -138,26 +121,26 @@ def analyzed(spark, term: Term) -> list[str]:
     return spark.range(1).select(ANALYSES[analysis_of(term)](F.lit(term.text)).alias("t")).first().t
 
 
-def term_matches(index: dict[str, DataFrame], term: Term) -> DataFrame:
+def term_matches(index: dict[str, Postings], term: Term) -> DataFrame:
     """LEX-02, STR-19: (doc_id, field, score) of one term."""
     posts = index[analysis_of(term)]
-    words = analyzed(posts.sparkSession, term)
+    words = analyzed(posts.rows.sparkSession, term)
     if not words:
-        return posts.select("doc_id", "field", F.lit(0.0).alias("score")).where("false")
+        return posts.rows.select("doc_id", "field", F.lit(0.0).alias("score")).where("false")
     if term.match == "phrase":
-        return bm25(posts, words, phrase(posts.where("field <> 'categories'"), words).select("doc_id").distinct()).join(phrase(posts, words).select("doc_id", "field").distinct(), ["doc_id", "field"], "left_semi")
+        found = phrase(posts, words).select("doc_id", "field").distinct()
+        return bm25(posts, words, found.where("field <> 'categories'").select("doc_id").distinct()).join(found, ["doc_id", "field"], "left_semi")
     if term.match == "fuzzy":
         parts = []
         for i, w in enumerate(dict.fromkeys(words)):
             near = fuzzy_vocabulary(posts, w, term.fuzziness).withColumn("weight", 1 - F.col("distance") / F.greatest(F.lit(len(w)), F.length("token")))
-            hits = posts.join(near, "token").groupBy("doc_id", "field").agg(F.max("weight").alias("score")).withColumn("i", F.lit(i))
-            parts.append(hits)
+            parts.append(posts.among(near).groupBy("doc_id", "field").agg(F.max("weight").alias("score")).withColumn("i", F.lit(i)))
         every = reduce(DataFrame.unionByName, parts)
         return every.groupBy("doc_id", "field").agg(F.sum("score").alias("score"), F.countDistinct("i").alias("n")).where(f"n = {len(parts)}").drop("n")
     return bm25(posts, words, need_all=True)
 
 
-def boolean(index: dict[str, DataFrame], terms: tuple[Term, ...], keep: DataFrame | None = None) -> DataFrame:
+def boolean(index: dict[str, Postings], terms: tuple[Term, ...], keep: DataFrame | None = None) -> DataFrame:
     """LEX-03, LEX-08: (doc_id, lexical_score, term_hits): all musts, one should if there are any, no must_not, within `keep`."""
     parts = [best_fields(term_matches(index, t)).withColumns({"i": F.lit(i), "op": F.lit(t.op)}) for i, t in enumerate(terms)]
     every = reduce(DataFrame.unionByName, parts)
@@ -171,7 +154,7 @@ def boolean(index: dict[str, DataFrame], terms: tuple[Term, ...], keep: DataFram
     return out.where(ok & (F.col("s") > 0) if count("should") else ok).drop("m", "s", "x")
 
 
-def gated(index: dict[str, DataFrame], terms: tuple[Term, ...], keep: DataFrame) -> DataFrame:
+def gated(index: dict[str, Postings], terms: tuple[Term, ...], keep: DataFrame) -> DataFrame:
     """SEM-04: documents of the scope that meet musts and must_nots, whatever the shoulds."""
     for t in terms:
         if t.op != "should":
@@ -206,7 +189,7 @@ def blended(lexical: DataFrame, semantic: DataFrame | None, key: str = "doc_id")
     return union_scores(lex, sem, key).withColumn("score", LEXICAL * F.col("lexical_score") + SEMANTIC * F.col("semantic_score"))
 
 
-def search(index: dict[str, DataFrame], docs: DataFrame, vectors: DataFrame | None, query: Query) -> tuple[DataFrame, str | None]:
+def search(index: dict[str, Postings], docs: DataFrame, vectors: DataFrame | None, query: Query) -> tuple[DataFrame, str | None]:
     """HYB-02: ranked documents of `docs` (which has the filters applied) and why the mode was degraded, if it was."""
     query = checked(query)
     keep = docs.select("doc_id")
@@ -228,20 +211,20 @@ def page_of_results(ranked: DataFrame, page: int = 1, size: int = 20) -> DataFra
     return ranked.orderBy(F.desc("score"), "doc_id").limit(200).offset((max(page, 1) - 1) * size).limit(size)
 
 
-def list_search(index: DataFrame, docs: DataFrame, words: list[str], fallback: str | None = None) -> DataFrame:
+def list_search(index: Postings, docs: DataFrame, words: list[str], fallback: str | None = None) -> DataFrame:
     """HYB-12: the ten best by the fields, or a substring match where the index cannot answer."""
     if fallback is not None:
         return docs.where(F.contains(F.lower("content"), F.lit(fallback.lower()))).orderBy("doc_id")
     return best_fields(bm25(index, words, docs)).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
-def expansion(tokens: DataFrame, lexical: DataFrame, semantic: DataFrame, most: int = 10) -> DataFrame:
+def expansion(index: Postings, lexical: DataFrame, semantic: DataFrame, most: int = 10) -> DataFrame:
     """HYB-08: words that stand out in what a fuzzy and a vector search found (200 by score)."""
     from .aggregates import significant_terms
 
     ranked = lexical.select("doc_id", F.col("lexical_score").alias("s")).unionByName(semantic.select("doc_id", F.col("semantic_score").alias("s")))
     fg = ranked.groupBy("doc_id").agg(F.max("s").alias("s")).orderBy(F.desc("s"), "doc_id").limit(200)
-    return significant_terms(tokens, fg, most)
+    return significant_terms(index.rows.select("doc_id", "token"), fg, most, background=index.background())
 
 
 def assisted(guesses: DataFrame, known: DataFrame, free: str) -> DataFrame:
@@ -252,21 +235,6 @@ def assisted(guesses: DataFrame, known: DataFrame, free: str) -> DataFrame:
     return hit.agg(own.alias("facets"), F.trim(F.concat_ws(" ", F.lit(free), F.array_join(rest, " "))).alias("text"))
 
 
-# Within a document.
-
-
-def fragments(pages: DataFrame, query: str, around: int = 75, most: int = 50) -> DataFrame:
-    """LEX-09: (doc_id, page, nth, snippet, marks): up to `most` windows of 150 characters around matches, all matches marked."""
-    low, q = F.lower("content"), query.lower()
-    step = max(1, 2 * around)
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.length("content") - len(q), F.lit(0))), lambda i: F.substring(low, i + 1, F.lit(len(q))) == q)
-    # The first match of each stretch of 150 characters stands for those in it.
-    chosen = F.aggregate(places, F.array().cast("array<int>"), lambda kept, x: F.when((F.size(kept) == 0) | (x - F.element_at(kept, -1) >= step), F.concat(kept, F.array(x))).otherwise(kept))
-    one = pages.where(F.contains(low, F.lit(q))).select("doc_id", "page", "content", F.posexplode(F.slice(chosen, 1, most)).alias("nth", "at"))
-    cut = F.substring("content", F.greatest(F.col("at") - around, F.lit(0)) + 1, F.lit(2 * around + len(q)))
-    return one.select("doc_id", "page", "nth", T.highlight(cut, query).alias("snippet")).withColumn("marks", T.mark_count("snippet"))
-
-
 def first_snippet(columns: list[str], plain: bool = False) -> Column:
     """LEX-10: the first non-empty highlight by priority of its field."""
     out = F.coalesce(*[F.when(F.size(c) > 0, F.get(c, F.lit(0))) for c in columns])
@@ -315,7 +283,7 @@ def fragment_scores(frags: DataFrame) -> DataFrame:
     return out.withColumn("lexical_score", F.col("lex_raw") / F.max("lex_raw").over(doc))
 
 
-def legacy_matches(index: dict[str, DataFrame], text: str, phrase_only: bool, ignore_diacritics: bool) -> DataFrame:
+def legacy_matches(index: dict[str, Postings], text: str, phrase_only: bool, ignore_diacritics: bool) -> DataFrame:
     """LEX-14: documents by the older query: a phrase; or stemmed words or fuzzy folded ones; or, as typed, fuzzy words."""
     side = "ignore" if ignore_diacritics else "sensitive"
     if phrase_only:
@@ -329,65 +297,6 @@ def semantic_only(best: DataFrame, seen: DataFrame, bar: float = STRICT) -> Data
     return none_of(best.where(F.col("similarity") >= bar), seen.select("doc_id", "page").distinct(), ["doc_id", "page"]).select("doc_id", "page", F.lit(0.0).alias("lexical_score"), F.col("similarity").alias("semantic_score"), (SEMANTIC * F.col("similarity")).alias("score"), F.lit("semantic").alias("match_kind"))
 
 
-def in_document(pages: DataFrame, chunks: DataFrame | None, query: str, vector=None, mode: str = "mix", bar: float | None = None, top_k: int | None = None, similar: DataFrame | None = None) -> DataFrame:
-    """HYB-03: matches in documents: exact, similar, semantic, mix or all. `similar` has fragments of the stemmed or fuzzy stage."""
-    strict, lenient = (STRICT, LENIENT) if bar is None else (bar, bar)
-    best = chunk_scores(chunks, vector) if chunks is not None and vector is not None else None
-    only = lambda rows: rows.select("doc_id", "page", F.lit(None).cast("double").alias("lexical_score"), F.col("similarity").alias("semantic_score"), F.col("similarity").alias("score"), F.lit("semantic").alias("match_kind"))
-    empty = pages.select("doc_id", "page", *[F.lit(None).cast("double").alias(c) for c in ("lexical_score", "semantic_score", "score")], F.lit("").alias("match_kind")).where("false")
-
-    def ranked(rows):
-        rows = rows.orderBy(F.desc("score"), "doc_id", "page")
-        return rows.limit(top_k) if top_k else rows
-
-    if mode == "semantic":
-        return ranked(only(best_pages(best, strict))) if best is not None else empty
-    exact = fragments(pages, query).withColumn("match_kind", F.lit("exact" if mode in ("exact", "all") else "lexical"))
-    found = exact
-    if similar is not None and mode in ("similar", "mix", "all"):
-        more = similar.withColumn("match_kind", F.lit("lexical")).select(*exact.columns)
-        found = more if mode != "all" else exact.unionByName(more.join(exact.select("doc_id", "page", "snippet"), ["doc_id", "page", "snippet"], "left_anti"))
-    lex = fragment_scores(found).select("doc_id", "page", "lexical_score", "match_kind")
-    if mode in ("exact", "similar") or best is None:
-        return ranked(lex.select("doc_id", "page", "lexical_score", F.lit(None).cast("double").alias("semantic_score"), F.col("lexical_score").alias("score"), "match_kind"))
-    page_best = best.groupBy("doc_id", "page").agg(F.max("similarity").alias("similarity"))
-    both = lex.join(page_best, ["doc_id", "page"], "left").withColumn("semantic_score", F.coalesce("similarity", F.lit(0.0)))
-    both = both.select("doc_id", "page", "lexical_score", "semantic_score", (LEXICAL * F.col("lexical_score") + SEMANTIC * F.col("semantic_score")).alias("score"), "match_kind")
-    hit_docs = lex.select("doc_id").distinct()
-    merged = semantic_only(page_best.join(hit_docs, "doc_id", "left_semi"), lex, strict)
-    rest = only(best_pages(best.join(hit_docs, "doc_id", "left_anti"), lenient)).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "page"))).where(f"_n <= {top_k or LENIENT_TOP}").drop("_n")
-    return ranked(both.unionByName(merged).unionByName(rest))
-
-
-def page_gates(hits: DataFrame, terms: tuple[Term, ...], pages: DataFrame) -> DataFrame:
-    """HYB-04, SET-01, SET-02: pages with all musts and no must_not, of hits (doc_id, page, i); shoulds gate lexical pages only."""
-    musts, nots = [i for i, t in enumerate(terms) if t.op == "must"], [i for i, t in enumerate(terms) if t.op == "must_not"]
-    key = ["doc_id", "page"]
-    out = pages.select(*key).distinct()
-    if musts:
-        out = hits.where(F.col("i").isin(musts)).groupBy(*key).agg(F.countDistinct("i").alias("n")).where(f"n = {len(musts)}").select(*key)
-    return out.join(hits.where(F.col("i").isin(nots)), key, "left_anti") if nots else out
-
-
-def in_document_terms(pages: DataFrame, terms: tuple[Term, ...], chunks: DataFrame | None = None, vector=None, bar: float = STRICT, strict_should: bool = False) -> DataFrame:
-    """HYB-04: several terms at once. strict_should makes shoulds gate semantic pages as well."""
-    each = [fragments(pages, t.text).withColumn("i", F.lit(i)) for i, t in enumerate(terms)]
-    hits = reduce(DataFrame.unionByName, each)
-    gates = page_gates(hits.select("doc_id", "page", "i").distinct(), terms, pages)
-    nots = [i for i, t in enumerate(terms) if t.op == "must_not"]
-    lex = fragment_scores(hits.where(~F.col("i").isin(nots)) if nots else hits).join(gates, ["doc_id", "page"], "left_semi")
-    lex = lex.groupBy("doc_id", "page").agg(F.max("lexical_score").alias("lexical_score"), F.array_sort(F.collect_set("i")).alias("term_hits"))
-    if chunks is None or vector is None:
-        return lex.withColumns({"semantic_score": F.lit(None).cast("double"), "score": F.col("lexical_score")})
-    best = chunk_scores(chunks, vector).groupBy("doc_id", "page").agg(F.max("similarity").alias("similarity")).join(gates, ["doc_id", "page"], "left_semi")
-    if strict_should and any(t.op == "should" for t in terms):
-        best = best.join(lex, ["doc_id", "page"], "left_semi")
-    both = lex.join(best, ["doc_id", "page"], "left").select("doc_id", "page", "lexical_score", "term_hits", F.coalesce("similarity", F.lit(0.0)).alias("semantic_score"))
-    both = both.withColumn("score", LEXICAL * F.col("lexical_score") + SEMANTIC * F.col("semantic_score"))
-    more = semantic_only(best, lex, bar).drop("match_kind").withColumn("term_hits", F.array().cast("array<int>"))
-    return both.unionByName(more)
-
-
 def context_pages(ranked: DataFrame, pages: DataFrame, most: int = 10, budget: int = 60000) -> DataFrame:
     """HYB-06: distinct pages of the best matches in order, as long as their texts fit the budget."""
     best = ranked.orderBy(F.desc("score"), "doc_id", "page").limit(most)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import fixtures, tables
+from . import fixtures, flows, searches, tables  # searches and flows register with tables
 
+__all__ = ["ORACLES", "QUERIES", "fixtures", "flows", "searches", "tables"]
 QUERIES = {**tables.QUERIES, **fixtures.QUERIES}
 ORACLES = {**tables.ORACLES, **fixtures.ORACLES}

@@ -20,8 +20,10 @@ from ..operators import kb, linking, lookups
 from ..operators import retrieval as ret
 from ..operators import versioning as dml
 from ..operators import windows as win
+from ..operators import within
 from ..plans.spec import Term
 from ..sources import readers, sinks
+from ..sources.index import unwritten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -575,7 +577,7 @@ def absorbed_fragments(spark):
 @known("page int", (2,))
 def page_gates_of_musts(spark):
     hits = rows(spark, "doc_id long, page int, i int", (1, 1, 0), (1, 2, 0), (1, 2, 1))
-    return ret.page_gates(hits, (Term("a"), Term("b")), rows(spark, "doc_id long, page int", (1, 1), (1, 2), (1, 3))).select("page")
+    return within.page_gates(hits, (Term("a"), Term("b")), rows(spark, "doc_id long, page int", (1, 1), (1, 2), (1, 3))).select("page")
 
 
 @known("doc_id long, score double", (1, 1.0), (2, 0.5), (3, 0.25))
@@ -586,23 +588,47 @@ def max_normalized_scores(spark):
 @known("page int, snippet string, marks int", (1, "a <mark>Fox</mark> and a <mark>fox</mark>", 2))
 def highlighted_fragments(spark):
     t = rows(spark, "doc_id long, page int, content string", (1, 1, "a Fox and a fox"), (1, 2, "none"))
-    return ret.fragments(t, "fox")
+    return within.fragments(t, "fox")
 
 
 @known("page int, kind string, score double", (1, "exact", 0.6), (2, "semantic", 0.4))
 def in_document_mix(spark):
     p = rows(spark, "doc_id long, page int, content string", (1, 1, "a fox"), (1, 2, "other"))
     c = rows(spark, "doc_id long, page int, chunk_index int, embedding array<double>", (1, 1, 0, [0.0, 1.0]), (1, 2, 1, [1.0, 0.0]))
-    return ret.in_document(p, c, "fox", [1.0, 0.0], "all").withColumnRenamed("match_kind", "kind")
+    return within.in_document(p, c, "fox", [1.0, 0.0], "all").withColumnRenamed("match_kind", "kind")
 
 
 @known("page int, hits string", (1, "0"), (3, "0,1"))
 def in_document_terms(spark):
     p = rows(spark, "doc_id long, page int, content string", (1, 1, "fox"), (1, 2, "fox bad"), (1, 3, "fox hen"))
-    out = ret.in_document_terms(p, (Term("fox"), Term("hen", op="should"), Term("bad", op="must_not")))
+    out = within.in_document_terms(p, (Term("fox"), Term("hen", op="should"), Term("bad", op="must_not")))
     return out.select("page", joined(F.col("term_hits")).alias("hits"))
 
 
+MATCHING = "doc_id long, page int, content string"
+
+
+@known("page int, i int, matches long", (1, 0, 1), (3, 0, 2), (1, 1, 1), (2, 2, 1), (1, 3, 3), (3, 3, 2), (4, 4, 1), (5, 5, 1), (4, 6, 1), (5, 6, 1))
+def page_term_kinds(spark):
+    """Words, phrases, fuzzy words, stems, and marks as typed or folded: a word is no part of another."""
+    p = rows(spark, MATCHING, (1, 1, "A cat sat on the mat"), (1, 2, "category of concatenation"), (1, 3, "cat, CAT"), (1, 4, "المسلمون هنا"), (1, 5, "مُسلم"))
+    terms = (Term("cat"), Term("on the", "phrase"), Term("concatenatoin", "fuzzy"), Term("catt mat", "fuzzy", 1), Term("مسلم", "stem"), Term("مُسلم", diacritics="sensitive"), Term("مسلم", "stem"))
+    return within.term_words(p, terms)[1].where("NOT (i = 4 AND page = 5)")
+
+
+@known("page int, snippet string, marks int, terms string", (1, "He <mark>on the</mark> <mark>cats</mark>", 2, "0,1"), (2, "the <mark>cat</mark> and the <mark>hat</mark>", 2, "1"))
+def term_marks(spark):
+    p = rows(spark, MATCHING, (1, 1, "He on the cats"), (1, 2, "the cat and the hat"))
+    out = within.term_fragments(p, (Term("on the", "phrase", op="should"), Term("cat", "fuzzy", 1), Term("he", op="must_not")))
+    return out.select("page", "snippet", "marks", joined(F.col("terms")).alias("terms"))
+
+
+@known("page int, kind string, score double", (1, "lexical", 1.0))
+def in_document_similar(spark):
+    p = rows(spark, MATCHING, (1, 1, "five foxes"), (1, 2, "other"))
+    return within.in_document(p, None, "foxe", mode="similar").withColumnRenamed("match_kind", "kind")
+
+
 @known("page int, used long", (2, 5), (1, 9))
 def context_budget(spark):
     r = rows(spark, "doc_id long, page int, score double", (1, 1, 0.5), (1, 2, 0.9), (1, 2, 0.1), (1, 3, 0.2))
@@ -639,7 +665,7 @@ def index_wide_rows(spark):
 @known("doc_id long, hit string", (1, "stem"), (2, "fuzzy"))
 def stem_and_fuzzy_terms(spark):
     docs = rows(spark, "doc_id long, content string", (1, "المسلمون هنا"), (2, "قال muslim"))
-    index = {k: ret.postings(docs, ["content"], k) for k in ("raw", "exact", "stem")}
+    index = unwritten(docs, ["content"])
     a = ret.term_matches(index, Term("مسلم", "stem")).select("doc_id", F.lit("stem").alias("hit"))
     return a.unionByName(ret.term_matches(index, Term("muslin", "fuzzy")).select("doc_id", F.lit("fuzzy").alias("hit")))
 

@@ -13,12 +13,15 @@ from ..functions import vectors as V
 from ..operators import aggregates as agg
 from ..operators import filters as fil
 from ..operators import joins as jon
-from ..operators import kb, recommend
+from ..operators import kb
 from ..operators import retrieval as ret
 from ..operators import versioning as dml
 from ..operators import windows as win
+from ..operators import within
 from ..plans.spec import Query, Term
+from ..sources import index as written_index
 from ..sources.readers import table
+from ..sources.scratch import kept
 from ..streaming import events as stm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,8 +268,10 @@ s AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * t
 FROM tf JOIN df USING (token) JOIN dl USING (doc_id), st GROUP BY doc_id{f' HAVING count(*) = {len(words)}' if need_all else ''})"""
 
 
-def posts(spark, d, analysis="raw"):
-    return ret.postings(documents(spark, d).withColumnRenamed("text", "content"), ["content"], analysis)
+def index(spark, d):
+    """The index of the documents' texts, written when a session first asks for it."""
+    docs = documents(spark, d).select("doc_id", F.col("text").alias("content"))
+    return written_index.read(spark, kept(spark, f"index of {d}", lambda path: written_index.write(docs, ["content"], path)))
 
 
 def six(c: str):
@@ -283,7 +288,7 @@ def bm25_scores(spark, d):
 
 @query(f"WITH {TOKENS}, {scored(['the', 'with'])} SELECT doc_id, {SIX} FROM s")
 def bm25_from_postings(spark, d):
-    return ret.best_fields(ret.bm25(posts(spark, d), ["the", "with"])).select("doc_id", six("score"))
+    return ret.best_fields(ret.bm25(index(spark, d)["raw"], ["the", "with"])).select("doc_id", six("score"))
 
 
 @query(f"WITH {TOKENS}, {scored(['the', 'with'])} SELECT doc_id, {SIX} FROM s JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY s.score DESC, doc_id LIMIT 20")
@@ -303,19 +308,19 @@ def has(word):
 
 @query(f"WITH {TOKENS} SELECT doc_id, '0' || CASE WHEN {has('with')} THEN ',1' ELSE '' END || CASE WHEN {has('are')} THEN ',2' ELSE '' END AS term_hits FROM documents d WHERE {has('the')} AND ({has('with')} OR {has('are')}) AND NOT {has('for')}")
 def bool_must_should_not(spark, d):
-    index = {"exact": posts(spark, d, "exact"), "raw": posts(spark, d)}
     terms = (Term("the"), Term("with", op="should"), Term("are", op="should"), Term("for", op="must_not"))
-    return ret.boolean(index, terms).select("doc_id", F.array_join(F.transform("term_hits", lambda x: x.cast("string")), ",").alias("term_hits"))
+    return ret.boolean(index(spark, d), terms).select("doc_id", F.array_join(F.transform("term_hits", lambda x: x.cast("string")), ",").alias("term_hits"))
 
 
-@query(f"WITH {TOKENS} SELECT a.doc_id, a.pos::INTEGER AS pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 AND b.token = 'the' WHERE a.token = 'of'")
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), p AS (SELECT doc_id, unnest(list_zip(w, w[2:], range(0, len(w)))) AS x FROM w)
+SELECT doc_id, x[3]::INTEGER AS pos FROM p WHERE x[1] = 'of' AND x[2] = 'the'""")
 def phrase_match(spark, d):
-    return ret.phrase(posts(spark, d), ["of", "the"]).select("doc_id", "pos")
+    return ret.phrase(index(spark, d)["raw"], ["of", "the"]).select("doc_id", "pos")
 
 
 @query(f"WITH {TOKENS} SELECT token, min(levenshtein(token, 'with'))::INTEGER AS distance FROM t WHERE levenshtein(token, 'with') <= 1 GROUP BY token")
 def fuzzy_vocabulary(spark, d):
-    return ret.fuzzy_vocabulary(posts(spark, d), "with")
+    return ret.fuzzy_vocabulary(index(spark, d)["raw"], "with")
 
 
 @query(f"""WITH {TOKENS}, p AS (SELECT DISTINCT doc_id, token FROM t), g AS (SELECT doc_id FROM documents WHERE lang = 'fr'),
@@ -324,7 +329,8 @@ x AS (SELECT token, fg, bg, fg / (SELECT count(*) FROM g)::DOUBLE AS f, bg / (SE
 SELECT token, fg, bg, floor((f - b) * f / b * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS score FROM x WHERE (f - b) * f / b > 0 ORDER BY (f - b) * f / b DESC, token LIMIT 25""")
 def significant_terms(spark, d):
     docs = documents(spark, d)
-    return agg.significant_terms(posts(spark, d), docs.where("lang = 'fr'"), 25).select("token", "fg", "bg", six("score"))
+    raw = index(spark, d)["raw"]
+    return agg.significant_terms(raw.rows, docs.where("lang = 'fr'"), 25, background=raw.background()).select("token", "fg", "bg", six("score"))
 
 
 # Vectors and blends. Queries are vectors of the table, so both sides read them from it.
@@ -356,15 +362,8 @@ def knn_gated(spark, d):
     return ret.knn(rows, vec(spark, d), 10, rows.where("label IN (1, 2)"), key="vec_id").select("vec_id", six("semantic_score"))
 
 
-@query(f"WITH b AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id < 5) SELECT qid, vec_id, {six_sql('greatest(-1, least(1, ' + cos('embedding', 'q') + '))', 'cosine')} FROM embeddings, b")
-def cosine_pairs(spark, d):
-    rows = table(spark, d, "embeddings")
-    five = rows.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))  # five stated query vectors
-    return rows.join(F.broadcast(five)).select("qid", "vec_id", V.cosine("embedding", "q").alias("cosine")).select("qid", "vec_id", six("cosine"))
-
-
 @query(f"WITH b AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 20 = 0) SELECT qid, vec_id, {six_sql('greatest(-1, least(1, ' + cos('embedding', 'q') + '))', 'cosine')} FROM embeddings, b")
-def cosine_pairs_every(spark, d):
+def cosine_pairs(spark, d):
     """Every twentieth vector against all, which meet in blocks."""
     rows = table(spark, d, "embeddings").withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(64)).cast("int"))
     q = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_b"))
@@ -402,8 +401,7 @@ b AS (SELECT doc_id, 0.60::DOUBLE * coalesce(score, 0) / (SELECT max(score) FROM
 SELECT doc_id, {six_sql('score', 'score')} FROM b ORDER BY b.score DESC, doc_id LIMIT 20""")
 def search_hybrid_page(spark, d):
     docs = fil.by_values(documents(spark, d), "lang", ["en"])
-    index = {"raw": posts(spark, d), "exact": posts(spark, d, "exact")}
-    ranked, _ = ret.search(index, docs, table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), Query((Term("the with"),), "hybrid", vector=tuple(vec(spark, d))))
+    ranked, _ = ret.search(index(spark, d), docs, table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), Query((Term("the with"),), "hybrid", vector=tuple(vec(spark, d))))
     return ret.page_of_results(ranked).select("doc_id", six("score"))
 
 
@@ -427,29 +425,54 @@ def page_best_similarity(spark, d):
     return ret.best_pages(ret.chunk_scores(similarities(spark, d), vec(spark, d)), 0.1).select("doc_id", "page", six("similarity"))
 
 
-@query(f"WITH {PAGES}, p AS (SELECT doc_id, page, content FROM pages2000 WHERE content <> ''), m AS (SELECT doc_id, page, len(regexp_extract_all(lower(content), '\\bthat\\b')) AS marks FROM p) SELECT doc_id, page::INTEGER AS page, marks, sum(marks) OVER (PARTITION BY doc_id)::BIGINT AS doc_marks FROM m WHERE marks > 0")
+@query(f"WITH {SIMS}, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY similarity DESC, chunk_index) AS n FROM c) SELECT doc_id, page, chunk_index, {six_sql('similarity', 'similarity')} FROM b WHERE n = 1")
+def page_similarity(spark, d):
+    return agg.page_similarity(ret.chunk_scores(similarities(spark, d), vec(spark, d))).select("doc_id", "page", "chunk_index", six("similarity"))
+
+
+WORDS_OF = f"""{PAGES}, w AS (SELECT doc_id, page, unnest(range(0, len(x))) AS pos, unnest(x) AS word, unnest(b) AS before FROM (SELECT doc_id, page, regexp_extract_all(content, '([^\\p{{L}}\\p{{N}}]*)([\\p{{L}}\\p{{N}}]+)', 2) AS x,
+regexp_extract_all(content, '([^\\p{{L}}\\p{{N}}]*)([\\p{{L}}\\p{{N}}]+)', 1) AS b FROM pages2000 WHERE content <> '')), o AS (SELECT doc_id, page, pos, lower(word) AS t, sum(length(before) + length(word)) OVER (PARTITION BY doc_id, page ORDER BY pos) - length(word) AS off FROM w),
+per AS (SELECT doc_id, page, count(*) FILTER (t = 'that') AS a, count(*) FILTER (t = 'with') AS b, count(*) FILTER (t = 'from') AS c FROM o GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {WORDS_OF}, m AS (SELECT doc_id, page, off // 150 AS s, CASE WHEN t = 'that' THEN 1 WHEN t = 'with' THEN 2 END AS m, lag(CASE WHEN t = 'that' THEN 1 WHEN t = 'with' THEN 2 END) OVER (PARTITION BY doc_id, page, off // 150 ORDER BY pos) AS l FROM o),
+f AS (SELECT doc_id, page, s, count(*) FILTER (m IS NOT NULL AND m IS DISTINCT FROM l) AS marks FROM m GROUP BY 1, 2, 3)
+SELECT doc_id, page::INTEGER AS page, s::BIGINT AS stretch, marks, sum(marks) OVER (PARTITION BY doc_id, page)::BIGINT AS page_marks FROM f WHERE marks > 0""")
 def page_mark_totals(spark, d):
-    m = pages_of(spark, d).select("doc_id", "page", F.regexp_count(F.lower("content"), F.lit(r"\bthat\b")).cast("long").alias("marks")).where("marks > 0")
-    return m.withColumn("doc_marks", F.sum("marks").over(Window.partitionBy("doc_id")))
+    f = within.term_fragments(pages_of(spark, d), (Term("that", op="should"), Term("with", op="should")), stretches=True)
+    return agg.with_page_total(f).select("doc_id", "page", "stretch", "marks", "page_marks")
 
 
-@query(f"WITH {PAGES}, p AS (SELECT * FROM pages2000 WHERE content <> '') SELECT doc_id, page::INTEGER AS page FROM p WHERE contains(lower(content), 'that') AND contains(lower(content), 'with') AND NOT contains(lower(content), 'from')")
+@query(f"WITH {WORDS_OF} SELECT doc_id, page::INTEGER AS page FROM per WHERE a > 0 AND b > 0 AND c = 0")
 def page_gate_must_not(spark, d):
     pages = pages_of(spark, d)
     terms = (Term("that"), Term("with"), Term("from", op="must_not"))
-    hits = None
-    for i, t in enumerate(terms):
-        one = pages.where(F.contains(F.lower("content"), F.lit(t.text))).select("doc_id", "page", F.lit(i).alias("i"))
-        hits = one if hits is None else hits.unionByName(one)
-    return ret.page_gates(hits, terms, pages)
+    return within.page_gates(within.term_words(pages, terms)[1], terms, pages)
+
+
+@query(f"""WITH {WORDS_OF}, h AS (SELECT doc_id, page, unnest([[0, a], [1, b], [2, c]]) AS x FROM per), n AS (SELECT doc_id, page, 3 AS i, count(*) AS k FROM (SELECT *, lead(t) OVER (PARTITION BY doc_id, page ORDER BY pos) AS nt FROM o) WHERE t = 'of' AND nt = 'the' GROUP BY 1, 2),
+z AS (SELECT doc_id, page, 4 AS i, count(*) AS k FROM o WHERE levenshtein(t, 'there') <= 1 GROUP BY 1, 2)
+SELECT doc_id, page::INTEGER AS page, i::INTEGER AS i, k AS matches FROM (SELECT doc_id, page, x[1] AS i, x[2] AS k FROM h UNION ALL SELECT * FROM n UNION ALL SELECT * FROM z) WHERE k > 0""")
+def page_term_hits(spark, d):
+    """Terms of every kind on all pages: a word, a stem, a word as typed, a phrase, a fuzzy word."""
+    terms = (Term("that"), Term("with", "stem"), Term("from", diacritics="sensitive"), Term("of the", "phrase"), Term("there", "fuzzy"))
+    return within.term_words(pages_of(spark, d), terms)[1]
+
+
+@query(f"""WITH {WORDS_OF}, m AS (SELECT doc_id, page, off // 150 AS s, CASE WHEN t = 'that' THEN 1 WHEN t = 'with' THEN 2 END AS m, lag(CASE WHEN t = 'that' THEN 1 WHEN t = 'with' THEN 2 END) OVER (PARTITION BY doc_id, page, off // 150 ORDER BY pos) AS l FROM o),
+f AS (SELECT doc_id, page, s, count(*) FILTER (m IS NOT NULL AND m IS DISTINCT FROM l) AS marks FROM m GROUP BY 1, 2, 3), r AS (SELECT *, marks + 0.25::DOUBLE * sum(marks) OVER (PARTITION BY doc_id, page) AS raw FROM f WHERE marks > 0),
+n AS (SELECT doc_id, page, max(raw) OVER (PARTITION BY doc_id, page) / max(raw) OVER (PARTITION BY doc_id) AS lex, row_number() OVER (PARTITION BY doc_id, page ORDER BY s) AS k FROM r)
+SELECT doc_id, page::INTEGER AS page, CASE WHEN b > 0 THEN '0,1' ELSE '0' END AS hits, {six_sql('lex', 'lexical_score')} FROM n JOIN per USING (doc_id, page) WHERE k = 1 AND a > 0 AND c = 0""")
+def in_document_page_scores(spark, d):
+    out = within.in_document_terms(pages_of(spark, d), (Term("that"), Term("with", op="should"), Term("from", op="must_not")))
+    return out.select("doc_id", "page", F.array_join(F.transform("term_hits", lambda x: x.cast("string")), ",").alias("hits"), six("lexical_score"))
 
 
 @query(f"WITH {PAGES}, p AS (SELECT * FROM pages2000 WHERE content <> '') SELECT b.item_id, p.doc_id, p.page::INTEGER AS page FROM benchmark b JOIN p ON contains(trim(regexp_replace(p.content, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g')))")
 def passages_in_pages(spark, d):
-    # 40 passages a scale factor of 0.01: a stated query set against all pages.
     b = table(spark, d, "benchmark").select("item_id", T.squeeze_space("text").alias("passage"))
     p = pages_of(spark, d).select("doc_id", "page", T.squeeze_space("content").alias("content"))
-    return p.join(b, F.contains("content", "passage")).select("item_id", "doc_id", "page")
+    return jon.holding(p, b, "content", "passage").select("item_id", "doc_id", "page")
 
 
 @query(f"WITH {PAGES} SELECT doc_id, page::INTEGER AS page, content FROM pages2000 WHERE doc_id = 8 AND page BETWEEN 1 AND 3 AND content <> ''")
@@ -457,13 +480,8 @@ def neighbour_pages(spark, d):
     return ret.neighbours(pages_of(spark, d), 8, 2)
 
 
-@query(f"WITH {PAGES} SELECT doc_id, page::INTEGER AS page FROM pages2000 WHERE doc_id < 100 AND content <> '' AND page BETWEEN 2 AND 4")
-def page_slice(spark, d):
-    return win.page_slice(pages_of(spark, d).where("doc_id < 100"), 2, 3).select("doc_id", "page")
-
-
 @query(f"WITH {PAGES} SELECT doc_id, page::INTEGER AS page FROM pages2000 WHERE content <> '' AND page BETWEEN 2 AND 4")
-def page_slice_every(spark, d):
+def page_slice(spark, d):
     return win.page_slice(pages_of(spark, d), 2, 3).select("doc_id", "page")
 
 
@@ -513,17 +531,6 @@ def facet_weights(spark, d):
     return agg.facet_weights(affinities(spark, d), bridge, "label").select("user_id", "label", six("weight"))
 
 
-@query(None)
-def recommend_cascade(spark, d):
-    a = affinities(spark, d)
-    e = table(spark, d, "embeddings")
-    vectors = e.select(F.col("vec_id").alias("doc_id"), "embedding")
-    docs = documents(spark, d).select("doc_id", F.to_timestamp(F.lit("2024-01-01")).alias("uploaded_at"))
-    bridge = e.select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("author_id"))
-    cats = documents(spark, d).select("doc_id", F.xxhash64("source").alias("category_id"))
-    return recommend.recommend(a.select("user_id").distinct(), a, docs, vectors, bridge, cats)
-
-
 @query("""WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS n FROM events),
 g AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 30 MINUTES AS "end", count(*) AS events FROM g GROUP BY user_id, g""")
 def sessionize_30m(spark, d):
@@ -708,23 +715,26 @@ def html_headings(spark, d):
     return kb.headings(docs).select(F.col("doc_id").alias("page_id"), "ord", "level")
 
 
-@query(None)
-def html_text_length(spark, d):
-    return table(spark, d, "pages").select("page_id", F.length(T.html_text("html")).alias("n"))
+def replaced(c, *pairs):
+    """c with patterns replaced in turn."""
+    for pattern, into in pairs:
+        c = f"regexp_replace({c}, '{pattern}', '{into}', 'g')"
+    return c
 
 
-@query("""WITH g AS (SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem GROUP BY 1, 2), c AS (SELECT a.src AS mention_id, b.src AS candidate, count(*) AS n FROM g a JOIN g b ON a.dst = b.dst WHERE a.src < 20 AND b.src BETWEEN 100 AND 200 AND b.src <= (SELECT max(s_suppkey) FROM supplier) GROUP BY 1, 2)
-SELECT mention_id, candidate, n AS "count" FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY n DESC, candidate) AS k, lead(n) OVER (PARTITION BY mention_id ORDER BY n DESC, candidate) AS nx FROM c) WHERE k = 1 AND (nx IS NULL OR nx < n)""")
-def shared_neighbour_winner(spark, d):
-    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("s"))
-    candidates = s.where("s < 20").select(F.col("s").alias("mention_id"), F.col("s").alias("src")).join(F.broadcast(s.where("s BETWEEN 100 AND 200").select(F.col("s").alias("candidate"))))
-    return jon.shared_neighbours(edges, candidates)
+# RE2 has no references back, so scripts and styles go in turn.
+HTML = replaced("html", ("(?is)<script\\b.*?</script\\s*>", ""), ("(?is)<style\\b.*?</style\\s*>", ""), ("(?s)<!--.*?-->", ""), ("(?i)<br\\s*/?>|</(p|li|tr|h[1-6]|div)\\s*>", "\n"), ("(?i)</(td|th)\\s*>", " "), ("<[^>]*>", ""),
+                ("&nbsp;|\\x{00A0}", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;|&apos;", "''"), ("&amp;", "&"), ("[ \\t\\r]+", " "), (" ?\\n[ \\n]*", "\n"), ("^\\s+|\\s+$", ""))
+
+
+@query(f"SELECT page_id, length({HTML})::INTEGER AS n, sha256({HTML}) AS hash FROM pages")
+def html_text_length(spark, d):
+    return table(spark, d, "pages").select("page_id", T.html_text("html").alias("t")).select("page_id", F.length("t").alias("n"), T.page_hash("t").alias("hash"))
 
 
 @query("""WITH s AS (SELECT s_suppkey FROM supplier), g AS (SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey IN (FROM s) GROUP BY 1, 2), c AS (SELECT a.src AS mention_id, b.src AS candidate, count(*) AS n FROM g a JOIN g b ON a.dst = b.dst WHERE a.src % 20 = 0 AND b.src <> a.src GROUP BY 1, 2)
 SELECT mention_id, candidate, n AS "count" FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY n DESC, candidate) AS k, lead(n) OVER (PARTITION BY mention_id ORDER BY n DESC, candidate) AS nx FROM c) WHERE k = 1 AND (nx IS NULL OR nx < n)""")
-def shared_neighbour_winner_every(spark, d):
+def shared_neighbour_winner(spark, d):
     """The suppliers with s % 20 = 0 against all others; those that share no part with a mention are no candidates of it."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("src"))
     edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).join(s, "src", "left_semi").distinct()

@@ -107,9 +107,9 @@ def seeded_works(works: DataFrame, docs: DataFrame) -> DataFrame:
     return created(works, docs.select(normalize("title").alias("normalized_title"), "title").dropDuplicates(["normalized_title"]), ["normalized_title"])
 
 
-def knowledge(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """SRC-15: knowledge JSON, one document a file."""
-    return spark.read.json(path, multiLine=True, schema=schema)
+def knowledge(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """SRC-15: knowledge JSON, one document a file, or one a line as sinks.write_knowledge has it."""
+    return spark.read.json(path, multiLine=not lines, schema=schema)
 
 
 def cache_key(*parts: str) -> Column:

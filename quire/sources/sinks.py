@@ -15,11 +15,6 @@ def read_index(spark, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
-def write_postings(posts: DataFrame, name: str, buckets: int) -> None:
-    """Postings bucketed by token, so that a query's words read their buckets alone."""
-    posts.write.mode("overwrite").bucketBy(buckets, "token").sortBy("token", "doc_id").saveAsTable(name)
-
-
 def write_knowledge(rows: DataFrame, path: str) -> None:
     """SRC-15: knowledge rows as JSON lines; null fields are left out."""
     rows.write.mode("overwrite").json(path)

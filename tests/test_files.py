@@ -24,7 +24,7 @@ def test_index_and_csv(spark, tmp_path):
     sinks.write_csv(spark.createDataFrame([('a"b', 1)], "t string, n int"), str(tmp_path / "c"))
     assert spark.read.csv(str(tmp_path / "c"), header=True, escape='"').first().t == 'a"b'
     sinks.write_knowledge(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "k"))
-    assert readers.knowledge(spark, str(tmp_path / "k"), "a int, b string").first().a == 1
+    assert readers.knowledge(spark, str(tmp_path / "k"), "a int, b string", lines=True).first().a == 1
 
 
 def test_cache_split(spark):

@@ -1,4 +1,4 @@
-"""Queries that take every row, not the narrow id ranges of their namesakes."""
+"""Queries that take every row of their tables."""
 
 from quire.queries import ORACLES, QUERIES
 
@@ -18,15 +18,15 @@ def whole(spark, name):
 
 
 def test_winners_among_all_suppliers(spark):
-    out = whole(spark, "shared_neighbour_winner_every")
+    out = whole(spark, "shared_neighbour_winner")
     assert out and all(r.mention_id % 20 == 0 for r in out)
     assert {r.mention_id for r in out} <= ids(spark, "supplier", "s_suppkey")
 
 
 def test_slices_of_all_documents(spark):
-    assert max(r.doc_id for r in whole(spark, "page_slice_every")) >= 100
+    assert max(r.doc_id for r in whole(spark, "page_slice")) >= 100
 
 
 def test_every_twentieth_vector_meets_all(spark):
     vectors = ids(spark, "embeddings", "vec_id")
-    assert {(r.qid, r.vec_id) for r in whole(spark, "cosine_pairs_every")} == {(q, v) for q in vectors if q % 20 == 0 for v in vectors}
+    assert {(r.qid, r.vec_id) for r in whole(spark, "cosine_pairs")} == {(q, v) for q in vectors if q % 20 == 0 for v in vectors}
