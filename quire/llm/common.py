@@ -8,8 +8,6 @@ document; every row of the input still gets its own row in a result.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +15,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch, written
+
 #: Documents below it have no doc_id.
 NO_ID = -(2**62)
 #: Bytes of text that a Python worker works on at once.
@@ -27,22 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor shares."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        top = found.get() if found.isDefined() else "/tmp/quire-checkpoints"
-    return f"{top.rstrip('/')}/quire-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: lineage ends here, so a lost executor costs only the tasks it ran."""
-    path = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def doc_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(text_key(), 2) + F.lit(-(2**63)))
 

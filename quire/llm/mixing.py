@@ -1,28 +1,27 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents are counted in cells of source, language and topic. The token weights of the cells are raked: scaled in turn so
-that the sums by source, by language and by topic meet their targets, ``ROUNDS`` times over. Default targets temper the
-shares that the marginals have (share to the power ``TEMPER``, made to sum to one). A cell's documents are then sampled
-with one probability, the cell's ratio of raked to own tokens times a constant, at most 1; the constant is chosen so that
-the tokens expected are ``KEEP`` of all. Which documents go is decided by a hash of their id, and of their text if
-they have no id, so it does not depend on how rows are dealt out.
-
-Cells are few, so up to ``CELLS`` of them are raked by numpy on the driver; beyond, the same steps run as aggregations
-over a written table. The topic of a document is the form of its text (``topic``), unless a column is given. Nulls are
-cells of their own. Null and empty texts have no tokens; a cell without tokens has ratio 1. Repeated rows are decided
-alike. A table without tokens keeps its rows.
+that the sums by source, by language and by topic meet their targets, until no scale differs from 1 by more than ``NEAR``,
+at most ``ROUNDS`` times over. Default targets temper the shares that the marginals have (share to the power ``TEMPER``,
+made to sum to one). A cell's documents are then sampled with one probability, the cell's ratio of raked to own tokens
+times a constant, at most 1; the constant is chosen so that the tokens expected are ``KEEP`` of all. Which documents go
+is decided by a hash of their id, and of their text if they have no id, so it does not depend on how rows are dealt out.
+
+Cells, marginals and scales are tables, written each round; the driver sees only how far a round moved and the constant,
+which it brackets with ``STEPS`` trials at a time. The topic of a document is the form of its text (``topic``), unless a
+column is given. Nulls are cells of their own. Null and empty texts have no tokens; a cell without tokens has ratio 1.
+Repeated rows are decided alike. A table without tokens keeps its rows.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, as_id, doc_key, met, table, text_key, written
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS, TEMPER, KEEP, CELLS = 30, 0.7, 0.85, 200_000
+ROUNDS, NEAR, TEMPER, KEEP, STEPS = 30, 1e-7, 0.7, 0.85, 64
 #: Fixed value: a word of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,102 +38,72 @@ def topic(text: Column, tokens: Column) -> Column:
     )
 
 
-def tempered(sums: np.ndarray, power: float = TEMPER) -> np.ndarray:
-    shares = (sums / sums.sum()) ** power if sums.sum() else np.ones(len(sums))
-    return shares / shares.sum()
-
-
-def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int | None = None) -> np.ndarray:
-    """Token weights whose marginals meet the targets (shares by code), as near as the cells allow."""
-    w, total = tokens.astype(float), float(tokens.sum())
-    for _ in range(ROUNDS if rounds is None else rounds):
-        for code, target in zip(codes, targets, strict=True):
-            sums = np.bincount(code, w, len(target))
-            w = w * np.divide(target * total, sums, out=np.zeros(len(target)), where=sums > 0)[code]
-    return w
-
-
-def probabilities(tokens: np.ndarray, ratio: np.ndarray, keep: float = KEEP) -> np.ndarray:
-    """min(1, k * ratio) with k such that keep of all tokens is expected (or all that can be)."""
-    if not tokens.sum():
-        return np.ones(len(ratio))
-    low, high = 0.0, 1e12
-    for _ in range(200):
-        k = (low + high) / 2 if high < 1e12 else max(1.0, low * 2)
-        if (tokens * np.minimum(1, k * ratio)).sum() < keep * tokens.sum():
-            low = k
-            if k > 1e11:
-                break
-        else:
-            high = k
-    return np.minimum(1, (high if high < 1e12 else low) * ratio)
-
-
-def _raked_on_driver(cells: DataFrame, targets: dict[str, dict], keep: float) -> DataFrame:
-    rows = cells.collect()  # at most CELLS
-    tokens = np.array([r.tokens for r in rows], float)
-    codes, goals = [], []
-    for d in DIMENSIONS:
-        names = sorted({r[d] for r in rows}, key=lambda x: (x is not None, x or ""))
-        place = {x: k for k, x in enumerate(names)}
-        code = np.array([place[r[d]] for r in rows], np.int64)
-        sums = np.bincount(code, tokens, len(names))
-        goal = np.array([targets[d].get(x, 0.0) for x in names]) if d in targets else tempered(sums)
-        codes.append(code)
-        goals.append(goal / max(goal.sum(), 1e-300))
-    ratio = np.divide(rake(tokens, codes, goals), tokens, out=np.ones(len(rows)), where=tokens > 0)
-    p = probabilities(tokens, ratio, keep)
-    out = [(*(r[d] for d in DIMENSIONS), float(x), float(y)) for r, x, y in zip(rows, ratio, p, strict=True)]
-    return cells.sparkSession.createDataFrame(out, "source string, lang string, topic string, weight double, probability double")
-
-
-def _raked_by_tables(cells: DataFrame, targets: dict[str, dict], keep: float) -> DataFrame:
-    spark = cells.sparkSession
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+def goals(cells: DataFrame, d: str, targets: dict[str, float] | None) -> DataFrame:
+    """(k, goal): the share of all tokens that each value of dimension d shall have; they sum to one."""
+    own = cells.groupBy(F.col(d).alias("k")).agg(F.sum("tokens").cast("double").alias("tokens"))
+    if targets is not None:
+        wanted = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "x string, goal double")
+        own = own.join(wanted, F.col("k").eqNullSafe(F.col("x")), "left").select("k", F.coalesce("goal", F.lit(0.0)).alias("goal"))
+    else:
+        own = own.select("k", F.pow("tokens", F.lit(TEMPER)).alias("goal"))
+    whole = own.agg(F.sum("goal")).first()[0] or 1.0
+    return own.withColumn("goal", F.col("goal") / F.lit(whole))
+
+
+def raked(cells: DataFrame, targets: dict[str, dict] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """cells (source, lang, topic, tokens) with weight, the ratio of raked to own tokens."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    goal = {d: written(goals(cells, d, (targets or {}).get(d))) for d in DIMENSIONS}
     now = cells.withColumn("w", F.col("tokens").cast("double"))
-    goals = {}
-    for d in DIMENSIONS:
-        if d in targets:
-            goal = spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], "k string, goal double")
-        else:
-            goal = cells.groupBy(F.col(d).alias("k")).agg(F.pow(F.sum("tokens") / F.lit(float(max(total, 1))), F.lit(TEMPER)).alias("goal"))
-        whole = goal.join(cells.select(F.col(d).alias("x")).distinct(), F.col("k").eqNullSafe(F.col("x")), "left_semi").agg(F.sum("goal")).first()[0] or 1.0
-        goals[d] = written(goal.withColumn("goal", F.col("goal") / F.lit(whole)))
-    for _ in range(ROUNDS):
+    for _ in range(rounds if total else 0):
+        moved = F.lit(0.0)
         for d in DIMENSIONS:
-            sums = now.groupBy(F.col(d).alias("k")).agg(F.sum("w").alias("have")).join(goals[d].withColumnRenamed("k", "x"), F.col("k").eqNullSafe(F.col("x")), "left")
-            factor = sums.select("k", F.when(F.col("have") > 0, F.coalesce("goal", F.lit(0.0)) * F.lit(float(total)) / F.col("have")).otherwise(0.0).alias("factor"))
-            now = now.join(factor, F.col(d).eqNullSafe(F.col("k"))).withColumn("w", F.col("w") * F.col("factor")).drop("k", "factor")
-        now = written(now)
-    now = written(now.withColumn("weight", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0)))
-    low, high = 0.0, 1.0
-    expected = lambda k: now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(k) * F.col("weight")))).first()[0] or 0
-    while total and expected(high) < keep * total and high < 1e12:
-        low, high = high, high * 4
-    for _ in range(40 if total else 0):
-        k = (low + high) / 2
-        low, high = (k, high) if expected(k) < keep * total else (low, k)
-    p = F.least(F.lit(1.0), F.lit(high) * F.col("weight")) if total else F.lit(1.0)
-    return now.select(*DIMENSIONS, "weight", p.alias("probability"))
-
-
-def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP, topics: str | None = None, seed: int = 17, cells_on_driver: int = CELLS) -> DataFrame:
+            sums = now.groupBy(F.col(d).alias("x")).agg(F.sum("w").alias("have"))
+            scale = sums.join(goal[d], F.col("x").eqNullSafe(F.col("k"))).select("x", F.when(F.col("have") > 0, F.col("goal") * F.lit(total) / F.col("have")).otherwise(1.0).alias(f"scale_{d}"))
+            now = now.join(scale, F.col(d).eqNullSafe(F.col("x"))).drop("x").withColumn("w", F.col("w") * F.col(f"scale_{d}"))
+            moved = F.greatest(moved, F.abs(F.col(f"scale_{d}") - 1))
+        now = written(now.withColumn("moved", F.when(F.col("w") > 0, moved).otherwise(0.0)))
+        step = now.agg(F.max("moved")).first()[0] or 0
+        now = now.select(*cells.columns, "w")
+        if step <= NEAR:
+            break
+    return now.select(*cells.columns, F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0).alias("weight"))
+
+
+def constant(found: DataFrame, keep: float = KEEP) -> float:
+    """k such that min(1, k * weight) of the tokens of cells (tokens, weight) are `keep` of all, or all that can be."""
+    total, reach, least = found.agg(F.sum("tokens"), F.sum(F.when(F.col("weight") > 0, F.col("tokens"))), F.min(F.when((F.col("tokens") > 0) & (F.col("weight") > 0), F.col("weight")))).first()
+    if not total or not least:
+        return 1.0
+    if keep * total >= reach:
+        return 1 / least
+    low, high = 0.0, 1 / least  # every cell that has a weight is whole there
+    while high - low > 1e-12 * high:
+        trials = [low + (high - low) * i / STEPS for i in range(1, STEPS)]
+        sums = found.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(k) * F.col("weight"))) for k in trials]).first()
+        short = sum(x < keep * total for x in sums)
+        low, high = (trials[short - 1] if short else low), (trials[short] if short < len(trials) else high)
+        if low == high:
+            break
+    return high
+
+
+def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP, topics: str | None = None, seed: int = 17) -> DataFrame:
     """(doc, th, source, lang, topic, n_tokens, weight, probability, selected) for each row of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(doc_key().alias("doc"), text_key().alias("th"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"), text.alias("text"), *([F.col(topics).cast("string").alias("topic")] if topics else []))
     if not topics:
         own = own.withColumn("topic", topic(F.col("text"), F.col("n_tokens")))
     own = written(own.drop("text"))
-    cells = written(own.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    few = cells.limit(cells_on_driver + 1).count() <= cells_on_driver
-    found = (_raked_on_driver if few else _raked_by_tables)(cells, targets or {}, keep)
-    found = found.select(*[F.col(d).alias(f"{d}_") for d in DIMENSIONS], "weight", "probability")
+    found = written(raked(written(own.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))), targets))
+    p = F.least(F.lit(1.0), F.lit(constant(found, keep)) * F.col("weight")) if found.agg(F.sum("tokens")).first()[0] else F.lit(1.0)
+    found = found.select(*[F.col(d).alias(f"{d}_") for d in DIMENSIONS], "weight", p.alias("probability"))
     meet = F.lit(True)
     for d in DIMENSIONS:
         meet = meet & F.col(d).eqNullSafe(F.col(f"{d}_"))
     draw = F.when(F.col("doc") < NO_ID, F.xxhash64(F.lit(seed), F.col("doc"), F.col("th"))).otherwise(F.xxhash64(F.lit(seed), F.col("doc")))
     u = F.shiftrightunsigned(draw, 11) / F.lit(float(1 << 53))
-    out = own.join(F.broadcast(found) if few else found, meet)
+    out = own.join(found, meet)
     return out.withColumn("selected", u < F.col("probability")).select("doc", "th", *DIMENSIONS, "n_tokens", "weight", "probability", "selected")
 
 

@@ -10,7 +10,8 @@ import corpus_pipeline
 from quire.llm import byte_bpe
 
 from .helpers import ODD, by_id, documents, words
-from .test_dedup import brute_simhash, brute_words
+from .test_dedup import brute_words
+from .test_near_copies import brute_firsts
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path(byte_bpe.RANKS)
@@ -70,7 +71,7 @@ def test_pipeline_stage_by_stage(spark):
     assert one.columns == names and {r.doc_id for r in one.collect()} == {i for i, r in judged.items() if r.kept}
     rows = [(r.doc_id, r.text) for r in one.collect()]
     two = corpus_pipeline.written(near(spark, one, SF))
-    assert two.columns == names and sorted(r.doc_id for r in two.collect()) == sorted(i for i, (_, c) in brute_simhash(rows).items() if i == c)
+    assert two.columns == names and sorted(r.doc_id for r in two.collect()) == brute_firsts(rows)
     rows = [(r.doc_id, r.text) for r in two.collect()]
     three = corpus_pipeline.written(substring(spark, two, SF))
     want = {i: x for i, x in brute_words(rows).items() if x[1] < x[0] or not x[0]}

@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from quire.llm import mixing, quality_rules, simhash, substring_dedup
+from quire.llm import mixing, near_copies, quality_rules, substring_dedup
 
 from .helpers import documents
 
@@ -25,7 +25,7 @@ def test_stages_tell_texts_apart(spark):
 
     # Copies of a text go, whether they have the same id or another; other texts stay.
     docs = documents(spark, [*texts, texts[0], texts[1], texts[65], texts[3]], ids=[*ids, None, 9, 5, 5])
-    assert found(simhash.stage, docs) == every
+    assert found(near_copies.stage, docs) == every
 
     # A row that loses its repeat gives its text to no other; a row of which nothing is left goes alone.
     docs = documents(spark, [*texts, texts[0] + " more", texts[1], texts[2] + " tail"], ids=[*ids, 5, 5, 6])
