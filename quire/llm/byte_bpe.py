@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_id, chunks, doc_key, table
+from .common import as_id, chunks, doc_key, lean, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Units that a worker keeps.
@@ -145,7 +145,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     own = docs.select(doc_key().alias("doc"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc long, n_tokens long, ids_sha256 string, decoded_sha256 string").select(as_id(), "n_tokens", "ids_sha256", "decoded_sha256")
+    return own.mapInArrow(lean(run), "doc long, n_tokens long, ids_sha256 string, decoded_sha256 string").select(as_id(), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:

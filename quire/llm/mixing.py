@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import NO_ID, as_id, doc_key, met, table, text_key, written
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS, NEAR, TEMPER, KEEP, STEPS = 30, 1e-7, 0.7, 0.85, 64
+ROUNDS, NEAR, TEMPER, KEEP, STEPS = 30, 1e-5, 0.7, 0.85, 64
 #: Fixed value: a word of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 

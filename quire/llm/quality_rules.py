@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, as_id, chunks, doc_key, flat, met, mix, table, text_key, word_hash, words, written
-from .repeats import BYTE
+from .common import CHUNK_BYTES, Rolling, as_id, chunks, doc_key, flat, lean, met, mix, table, text_key, word_hash, words, written
 
 #: Fixed values of the rules: symbols, least words, most per cent of words in repeated three-word windows.
 SYMBOLS = b"#*$%&|<>"
@@ -82,7 +81,7 @@ def text_stats(buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     ink = np.searchsorted(s, stop) > np.searchsorted(s, starts)
     starts, stop = starts[ink], stop[ink]
     row = np.searchsorted(off, starts, "right") - 1
-    line = Rolling(BYTE[buf]).of(starts, stop) ^ mix((stop - starts).astype(np.uint64))
+    line = word_hash(buf, starts, stop)
     n_lines = np.bincount(row, minlength=len(off) - 1)
     n_dup = np.bincount(row[_later(row, line)[0]], minlength=len(off) - 1)
 
@@ -99,7 +98,7 @@ def text_stats(buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
 
 def statistics(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for b in chunks(batches):
+        for b in chunks(batches, most=CHUNK_BYTES // 2):
             buf, off = flat(b.column("text"))
             cols = text_stats(buf, off)
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("th"), b.column("lang"), b.column("source"), *(pa.array(c.astype(np.int64)) for c in cols)], STATS.names)
@@ -114,7 +113,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + 4)),
         F.sqrt(F.col("n_repeat_words") / words_or_1),
     ]
-    return own.mapInArrow(run, STATS_DDL).select("*", failed.alias("base_failed"), *(f.alias(c) for f, c in zip(features, FEATURES, strict=True)))
+    return own.mapInArrow(lean(run), STATS_DDL).select("*", failed.alias("base_failed"), *(f.alias(c) for f, c in zip(features, FEATURES, strict=True)))
 
 
 def grouped(stats: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Rolling, chunks, flat, mix, signed, sliding_min, spread, squeeze, unsqueeze, word_hash, words, written
+from .common import CHUNK_BYTES, Rolling, chunks, flat, lean, mix, signed, sliding_min, spread, squeeze, unsqueeze, word_hash, words, written
 
 PART = 32
 AT = (1 << PART) - 1
@@ -54,7 +54,7 @@ class Windows:
     crowd: int = 4000
     chunk: int = CHUNK_BYTES
     #: Rows of phrases, and of texts, that are held at once.
-    rows: int = 400_000
+    rows: int = 200_000
     texts: int = 5000
 
     def prefixes(self) -> tuple[int, int]:
@@ -190,7 +190,7 @@ def phrases(docs: DataFrame, w: Windows) -> DataFrame:
         if held:
             yield from settled(held)
 
-    return docs.mapInArrow(run, PHRASE_DDL)
+    return docs.mapInArrow(lean(run), PHRASE_DDL)
 
 
 def slices(batches, schema: pa.Schema, group: str, kind: str, most: int):
@@ -262,7 +262,7 @@ def dictionary(found: DataFrame, w: Windows) -> DataFrame:
                 yield _batch(ASKED, kind[kind > 0], key[ask], doc[ask], pos[ask], n[ask], d[ask])
 
     met = found.repartition(spread(found.sparkSession), "key").sortWithinPartitions("key", "fp", "doc", "pos")
-    return met.mapInArrow(run, ASKED_DDL)
+    return met.mapInArrow(lean(run), ASKED_DDL)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def packed(docs: DataFrame) -> DataFrame:
             texts = b.column("text").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("part"), b.column("copies"), pa.array(squeeze(texts), pa.binary())], ["doc", "part", "copies", "text"])
 
-    return docs.mapInArrow(run, "doc long, part int, copies int, text binary")
+    return docs.mapInArrow(lean(run), "doc long, part int, copies int, text binary")
 
 
 def beside(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -359,7 +359,7 @@ def texts_asked(docs: DataFrame, asked: DataFrame, w: Windows) -> DataFrame:
                 texts[k] = b" ".join(brief(raw[p:q]) for p, q in zip(s[lo[k] : hi[k]].tolist(), e[lo[k] : hi[k]].tolist()))
         yield _batch(TEXT, signed(g), signed(g2), signed(g1), key, doc, pos, n, d, pa.array(texts, pa.binary()))
 
-    return beside(docs, asked.where("kind > 0")).mapInArrow(run, TEXT_DDL)
+    return beside(docs, asked.where("kind > 0")).mapInArrow(lean(run), TEXT_DDL)
 
 
 def dealt(texts: DataFrame, w: Windows) -> DataFrame:
@@ -401,7 +401,7 @@ def removed(docs: DataFrame, w: Windows, compare) -> DataFrame:
     if asked.where("kind = 2").limit(1).count():
         texts = dealt(written(texts), w)
     met = texts.repartition(spread(docs.sparkSession), "g").sortWithinPartitions("g", "key", "doc", "pos")
-    return asked.where("kind = 0").select("doc", "pos", "n").unionByName(met.mapInArrow(run, RANGE_DDL))
+    return asked.where("kind = 0").select("doc", "pos", "n").unionByName(met.mapInArrow(lean(run), RANGE_DDL))
 
 
 def by_document(docs: DataFrame, gone: DataFrame, w: Windows, finish, schema: pa.Schema, ddl: str) -> DataFrame:
@@ -448,5 +448,5 @@ def by_document(docs: DataFrame, gone: DataFrame, w: Windows, finish, schema: pa
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema)
 
     side = gone.selectExpr("1 AS kind", "0L AS key", "doc", "pos", "n", "0 AS d")
-    out = beside(docs, side).mapInArrow(run, ddl)
+    out = beside(docs, side).mapInArrow(lean(run), ddl)
     return out.withColumn("__copies", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__copies")

@@ -4,9 +4,9 @@ Fingerprints that differ in at most ``bits`` of 64 agree in one of ``bits + 1``
 block. A block's group that is still large is cut again: its fingerprints differ in at most ``bits`` of the remaining
 places, which are split the same way. Within a group a binary trie over the sorted fingerprints is joined with itself:
 pairs of nodes are followed downwards together, differing branches add to the pair's distance, and a pair whose distance
-passes the budget is dropped with all below it. Found pairs are folded to a star per component of the group before they
-leave the task: links between different fingerprints are never lost and never as many as the pairs. Components over all
-groups come from alternating large-star and small-star steps.
+passes the budget is dropped with all below it, as is one whose places are joined by then. What leaves the task is a
+spanning forest of the pairs: no component is lost, and links are never as many as the pairs. Components over all groups
+come from alternating large-star and small-star steps.
 
 Equal fingerprints (exact copies and texts alike in all shingles) are one vertex, so a large group of copies costs one.
 Null and empty texts have fingerprint zero and are linked like any other. A row without doc_id has a null component
@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_id, chunks, doc_key, gathered, signed, spread, table, written
+from .common import as_id, chunks, doc_key, gathered, lean, signed, spread, table, written
 
 # A-Z to a-z; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = 32
-#: Fingerprints that are met in parts, at most.
-PARTED = 2000
+#: Fingerprints that are met in parts, at most; pairs of trie nodes that are looked at together.
+PARTED, PIECE = 2000, 1 << 14
 
 
 def _hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,30 +74,7 @@ def fingerprints(docs: DataFrame, width: int = 3, **more: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(signed(_majority(*_hashes(texts, width))))], [*names, "fp"])
 
     own = docs.select(doc_key().alias("doc"), *(c.alias(k) for k, c in more.items()), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
-
-
-def trie_join(fps: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in fps (unsigned, sorted by group and value) within the budget of differing bits, same group."""
-    edge = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(fps))
-    # A pair of trie nodes is a pair of ranges and their distance so far; at the root each group meets itself.
-    alo, ahi = edge[:-1][np.diff(edge) > 1], edge[1:][np.diff(edge) > 1]
-    blo, bhi, far = alo, ahi, np.zeros(len(alo), np.int64)
-    for bit in range(63, -1, -1):
-        if not len(alo):
-            break
-        ones = np.concatenate(([0], np.cumsum((fps >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)))
-        am, bm = ahi - (ones[ahi] - ones[alo]), bhi - (ones[bhi] - ones[blo])
-        itself = alo == blo
-        made = [(alo, am, blo, bm, far, None), (am, ahi, bm, bhi, far, None), (alo, am, bm, bhi, far + 1, None), (am, ahi, blo, bm, far + 1, ~itself)]
-        kept = []
-        for x0, x1, y0, y1, f, only in made:
-            ok = (x1 > x0) & (y1 > y0) & (f <= budget) & ~((x0 == y0) & (x1 - x0 == 1))
-            if only is not None:
-                ok &= only
-            kept.append((x0[ok], x1[ok], y0[ok], y1[ok], f[ok]))
-        alo, ahi, blo, bhi, far = (np.concatenate(c) for c in zip(*kept, strict=True))
-    return alo, blo
+    return own.mapInArrow(lean(run), ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -115,6 +92,90 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def forest(root: np.ndarray, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs at distances the places that join components, nearest first, and the components' least members then."""
+    chosen = []
+    place = np.arange(len(root))
+    while True:
+        open_ = np.flatnonzero(root[a] != root[b])
+        if not len(open_):
+            return (np.concatenate(chosen) if chosen else open_), root
+        # Each component takes its nearest pair; as ties go by place, these pairs close no circle.
+        component, pair = np.concatenate((root[a[open_]], root[b[open_]])), np.concatenate((open_, open_))
+        order = np.lexsort((pair, far[pair], component))
+        first = np.append(True, component[order][1:] != component[order][:-1])
+        took = np.unique(pair[order][first])
+        chosen.append(took)
+        root = stars(len(root), np.concatenate((place, a[took])), np.concatenate((root, b[took])))
+
+
+def trie_join(prints: np.ndarray, group: np.ndarray, budget: int, few: int = 0, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of prints (rows of lanes, sorted by group, then lane by lane) of one group that differ in at most
+    `budget` bits: all of them in groups of up to `few`, in larger ones enough to join all that such pairs join.
+
+    A pair of trie nodes is a pair of ranges with their distance so far. Pairs go down in pieces, the first piece first, so
+    that ranges joined by then need no more steps.
+    """
+    root = np.arange(len(prints))
+    edge = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(prints))
+    several = np.diff(edge) > 1
+    every = np.repeat(np.diff(edge) <= few, np.diff(edge))
+    lo, hi = edge[:-1][several].astype(np.int32), edge[1:][several].astype(np.int32)
+    # Two ranges of places, their distance so far, and the bit at which they part next.
+    todo = [(lo, hi, lo, hi, np.zeros(len(lo), np.int16), 0)]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def join(a, b, far):
+        nonlocal root
+        took, root = forest(root, a, b, far)
+        found.append((a[took], b[took]))
+
+    while todo:
+        alo, ahi, blo, bhi, far, bit = todo.pop()
+        if len(alo) > piece:
+            half = len(alo) // 2
+            todo += [(*(x[cut] for x in (alo, ahi, blo, bhi, far)), bit) for cut in (slice(half, None), slice(half))]
+            continue
+        # Ranges within one component have no more to tell.
+        change = np.concatenate((np.zeros(1, np.int32), np.cumsum(root[1:] != root[:-1], dtype=np.int32)))
+        open_ = every[alo] | (root[alo] != root[blo]) | (change[ahi - 1] != change[alo]) | (change[bhi - 1] != change[blo])
+        alo, ahi, blo, bhi, far = (x[open_] for x in (alo, ahi, blo, bhi, far))
+        # Two leaves need no more steps: their distance is counted at once.
+        leaf = (ahi - alo == 1) & (bhi - blo == 1)
+        a, b = alo[leaf], blo[leaf]
+        bits = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
+        found.append((a[every[a] & (bits <= budget)], b[every[a] & (bits <= budget)]))
+        near = ~every[a] & (bits <= budget)
+        if near.any():
+            join(a[near], b[near], bits[near])
+        alo, ahi, blo, bhi, far = (x[~leaf] for x in (alo, ahi, blo, bhi, far))
+        if not len(alo):
+            continue
+        if bit == 64 * prints.shape[1]:  # ranges of equal prints: all of a group of few, or enough to join them
+            for x0, x1, y0, y1, f in zip(*(x.tolist() for x in (alo, ahi, blo, bhi, far)), strict=True):
+                x, y = np.arange(x0, x1), np.arange(y0, y1)
+                if not every[x0]:
+                    x, y = (np.append(x[:-1], x0), np.append(x[1:], y0)) if x0 != y0 else (x[:-1], x[1:])
+                    join(x, y, np.full(len(x), f))
+                else:
+                    x, y = np.repeat(x, len(y)), np.tile(y, len(x))
+                    found.append((x[(x0 != y0) | (x < y)], y[(x0 != y0) | (x < y)]))
+            continue
+        # A range is sorted, so its places with the bit set are its last.
+        lane = prints[:, bit // 64] >> np.uint64(63 - bit % 64)
+        count = np.concatenate((np.zeros(1, np.int32), np.cumsum(lane & np.uint64(1), dtype=np.int32)))
+        am, bm = ahi - (count[ahi] - count[alo]), bhi - (count[bhi] - count[blo])
+        itself = alo == blo
+        kept = []
+        for x0, x1, y0, y1, f, only in ((alo, am, blo, bm, far, None), (am, ahi, bm, bhi, far, None), (alo, am, bm, bhi, far + 1, None), (am, ahi, blo, bm, far + 1, ~itself)):
+            ok = (x1 > x0) & (y1 > y0) & (f <= budget) & ~((x0 == y0) & (x1 - x0 == 1))
+            if only is not None:
+                ok &= only
+            kept.append((x0[ok], x1[ok], y0[ok], y1[ok], f[ok]))
+        todo.append((*(np.concatenate(c) for c in zip(*kept, strict=True)), bit + 1))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (lo[:0], lo[:0])
+
+
 def _blocks(width: int, parts: int) -> list[tuple[int, int]]:
     """Shift and size of `parts` blocks over the low `width` bits."""
     cuts = [width * k // parts for k in range(parts + 1)]
@@ -126,7 +187,7 @@ def _bits(shift: int, size: int):
 
 
 def links(vertices: DataFrame, bits: int, large: int = 1024) -> DataFrame:
-    """(a, b): for each component of each group, its members (fp, lead) joined with one of them."""
+    """(a, b): for each component of each group, a spanning forest of its members (fp, lead)."""
     blocks = _blocks(64, bits + 1)
     grouped = vertices.select("fp", "lead", F.explode(F.array(*[F.struct(F.lit(k).alias("no"), _bits(*x).alias("value")) for k, x in enumerate(blocks)])).alias("k")).select("fp", "lead", "k.*")
     crowded = grouped.groupBy("no", "value").count().where(f"count > {large}").select("no", "value", F.lit(True).alias("crowded"))
@@ -154,20 +215,13 @@ def links(vertices: DataFrame, bits: int, large: int = 1024) -> DataFrame:
         fp = fp.view(np.uint64)
         order = np.lexsort((fp, g))
         fp, lead, g = fp[order], lead[order], g[order]
-        edge = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g)) if len(g) else np.zeros(1, np.int64)
-        work = np.cumsum(np.diff(edge).astype(np.float64) ** 2)
-        at = 0
-        while at < len(work):  # slices of whole groups, so that pairs under way stay few
-            to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + 2e6, "right")))
-            lo, hi = edge[at], edge[to]
-            at = to
-            f, ld = fp[lo:hi], lead[lo:hi]
-            root = stars(len(f), *trie_join(f, g[lo:hi], bits))
-            i = np.flatnonzero(root != np.arange(len(f)))
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ld[i], signed(f[i]), ld[root[i]], signed(f[root[i]]))], ["al", "af", "bl", "bf"])
-
-    found = keyed.repartition(spread(vertices.sparkSession), "g").mapInArrow(run, "al long, af long, bl long, bf long")
+        if not len(g):
+            return
+        a, b = trie_join(fp[:, None], g, bits)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lead[a], signed(fp[a]), lead[b], signed(fp[b]))], ["al", "af", "bl", "bf"])
+
+    found = keyed.repartition(spread(vertices.sparkSession), "g").mapInArrow(lean(run), "al long, af long, bl long, bf long")
     return found.select(F.struct(F.col("al").alias("lead"), F.col("af").alias("fp")).alias("a"), F.struct(F.col("bl").alias("lead"), F.col("bf").alias("fp")).alias("b"))
 
 

@@ -41,7 +41,7 @@ def test_op8_equals_brute_force(spark):
     ratio, _ = brute_rake(cells, 200)
     total = sum(cells.values())
     for r in out.values():
-        assert r.weight == pytest.approx(ratio[r.source, r.lang, r.topic], rel=1e-5)
+        assert r.weight == pytest.approx(ratio[r.source, r.lang, r.topic], rel=1e-3)
     expected = sum(r.n_tokens * r.probability for r in out.values())
     assert expected == pytest.approx(mixing.KEEP * total, rel=1e-9)
     assert all(r.selected for r in out.values() if r.probability == 1)

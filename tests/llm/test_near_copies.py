@@ -75,9 +75,7 @@ def test_odd_rows(spark):
 
 
 @pytest.mark.parametrize(("piece", "few"), [(3, 0), (10**6, 0), (50, 64), (10**6, 64)])
-def test_trie_join_finds_all_components(monkeypatch, piece, few):
-    monkeypatch.setattr(near, "PIECE", piece)
-    monkeypatch.setattr(near, "FEW", few)
+def test_trie_join_finds_all_components(piece, few):
     rng = np.random.default_rng(piece)
     base = rng.integers(0, 2**63, (12, 2), dtype=np.uint64)
     prints = np.repeat(base, 6, axis=0)
@@ -88,7 +86,7 @@ def test_trie_join_finds_all_components(monkeypatch, piece, few):
     group = rng.integers(0, 3, len(prints))
     order = np.lexsort((prints[:, 1], prints[:, 0], group))
     prints, group = prints[order], group[order]
-    a, b = near.linked(prints, group, 7)
+    a, b = simhash.trie_join(prints, group, 7, few, piece)
     close = [(x, y) for x in range(len(prints)) for y in range(x) if group[x] == group[y] and sum(int(v).bit_count() for v in prints[x] ^ prints[y]) <= 7]
     assert {(max(p), min(p)) for p in zip(a.tolist(), b.tolist())} <= set(close)
     roots = []
