@@ -53,9 +53,9 @@ def stem(word: Column) -> Column:
 
 
 def stemmed_tokens(c) -> Column:
-    """TOK-03: folded words less stopwords, stemmed."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.transform(F.filter(exact_tokens(c), lambda w: ~F.array_contains(stop, w)), stem)
+    """TOK-03: folded words less stopwords, stemmed; words without an Arabic letter have nothing to lose."""
+    kept = F.filter(exact_tokens(c), lambda w: ~w.isin(STOPWORDS))
+    return F.transform(kept, lambda w: F.when(w.rlike(r"\p{InArabic}"), stem(w)).otherwise(w))
 
 
 def shadow_map(c) -> Column:
