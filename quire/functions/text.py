@@ -44,18 +44,17 @@ def exact_tokens(c) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """Light stem: a prefix that leaves two letters goes (three after a lone conjunction), then suffixes in turn while two stay."""
+    """Light stem: a prefix that leaves two letters goes (three after a lone conjunction), then suffixes in turn while two stay. A word without an Arabic letter has nothing to lose."""
     long = "|".join(PREFIXES[:-1])
     cut = F.regexp_replace(word, f"^(?:(?:{long})(?=.{{2}})|{PREFIXES[-1]}(?=.{{3}}))", "")
     for s in SUFFIXES:
         cut = F.regexp_replace(cut, f"(?<=.{{2}}){s}$", "")
-    return cut
+    return F.when(word.rlike(r"\p{InArabic}"), cut).otherwise(word)
 
 
 def stemmed_tokens(c) -> Column:
-    """TOK-03: folded words less stopwords, stemmed; words without an Arabic letter have nothing to lose."""
-    kept = F.filter(exact_tokens(c), lambda w: ~w.isin(STOPWORDS))
-    return F.transform(kept, lambda w: F.when(w.rlike(r"\p{InArabic}"), stem(w)).otherwise(w))
+    """TOK-03: folded words less stopwords, stemmed."""
+    return F.transform(F.filter(exact_tokens(c), lambda w: ~w.isin(STOPWORDS)), stem)
 
 
 def shadow_map(c) -> Column:

@@ -40,20 +40,20 @@ def words_of(spark, term: Term) -> list[str]:
     return [r.t for r in page_words(one).where(token.isNotNull()).orderBy("pos").select(token.alias("t")).collect()]
 
 
-def _hit(term: Term, words: list[str]) -> tuple[Column, Column, Column]:
-    """Of a term: whether a word is part of a match, whether a page (grouped) has all of it, and its matches there."""
+def _hit(term: Term, words: list[str], flag: str) -> tuple[Column, Column, Column]:
+    """Of a term: whether a word is part of a match (the column `flag`), whether a page (grouped) has all of it, and its matches there."""
     token = F.col(analysis_of(term))
     if not words:
         return F.lit(False), F.lit(False), F.lit(0).cast("long")
     if term.match == "phrase":
         order = Window.partitionBy(*PAGE).orderBy("pos")
         whole = reduce(lambda a, b: a & b, [F.coalesce(F.lead(token, j).over(order) == w, F.lit(False)) if j else token == w for j, w in enumerate(words)])
-        return whole, F.max("_f"), F.count_if("_f")
+        return whole, F.max(flag), F.count_if(flag)
     if term.match == "fuzzy":
         each = [F.coalesce(F.levenshtein(token, F.lit(w), edits(term.fuzziness, w)) >= 0, F.lit(False)) for w in dict.fromkeys(words)]
     else:
         each = [F.coalesce(token == w, F.lit(False)) for w in dict.fromkeys(words)]
-    return reduce(lambda a, b: a | b, each), reduce(lambda a, b: a & b, [F.max(e) for e in each]), F.count_if("_f")
+    return reduce(lambda a, b: a | b, each), reduce(lambda a, b: a & b, [F.max(e) for e in each]), F.count_if(flag)
 
 
 def term_words(pages: DataFrame, terms: tuple[Term, ...]) -> tuple[DataFrame, DataFrame]:
@@ -62,17 +62,18 @@ def term_words(pages: DataFrame, terms: tuple[Term, ...]) -> tuple[DataFrame, Da
     hits, marks = [], []
     for i, t in enumerate(terms):
         own = words_of(pages.sparkSession, t)
-        flag, every, count = _hit(t, own)
+        flag, every, count = _hit(t, own, f"_f{i}")
         words = words.withColumn(f"_f{i}", flag)
         if t.match == "phrase" and len(own) > 1:  # all words of a match are marked, not only its first
             reach = Window.partitionBy(*PAGE).orderBy("pos").rowsBetween(-(len(own) - 1), 0)
             words = words.withColumn(f"_m{i}", F.max(f"_f{i}").over(reach))
         else:
             words = words.withColumn(f"_m{i}", F.col(f"_f{i}"))
-        one = words.withColumn("_f", F.col(f"_f{i}")).groupBy(*PAGE).agg(every.alias("all"), count.alias("matches"))
-        hits.append(one.where("all").select(*PAGE, F.lit(i).alias("i"), "matches"))
+        hits.append(F.when(every, F.struct(F.lit(i).alias("i"), count.alias("matches"))))
         marks.append(F.when(F.col(f"_m{i}"), F.lit(i)))
-    return words.withColumn("_m", F.array_compact(F.array(*marks))).drop(*[f"_{x}{i}" for x in "fm" for i in range(len(terms))]), reduce(DataFrame.unionByName, hits)
+    # Pages meet once for all terms.
+    found = words.groupBy(*PAGE).agg(F.array_compact(F.array(*hits)).alias("h")).select(*PAGE, F.explode("h").alias("h")).select(*PAGE, "h.i", "h.matches")
+    return words.withColumn("_m", F.array_compact(F.array(*marks))).drop(*[f"_{x}{i}" for x in "fm" for i in range(len(terms))]), found
 
 
 def term_fragments(pages: DataFrame, terms: tuple[Term, ...], stretches: bool = False) -> DataFrame:
@@ -138,10 +139,12 @@ def in_document(pages: DataFrame, chunks: DataFrame | None, query: str, vector=N
 def page_gates(hits: DataFrame, terms: tuple[Term, ...], pages: DataFrame) -> DataFrame:
     """HYB-04, SET-01, SET-02: pages with all musts and no must_not, of hits (doc_id, page, i); shoulds gate lexical pages only."""
     musts, nots = [i for i, t in enumerate(terms) if t.op == "must"], [i for i, t in enumerate(terms) if t.op == "must_not"]
-    out = pages.select(*PAGE).distinct()
-    if musts:
-        out = hits.where(F.col("i").isin(musts)).groupBy(*PAGE).agg(F.countDistinct("i").alias("n")).where(f"n = {len(musts)}").select(*PAGE)
-    return out.join(hits.where(F.col("i").isin(nots)), PAGE, "left_anti") if nots else out
+    if not musts:
+        out = pages.select(*PAGE).distinct()
+        return out.join(hits.where(F.col("i").isin(nots)), PAGE, "left_anti") if nots else out
+    no = F.count_if(F.col("i").isin(nots)) if nots else F.lit(0)
+    met = hits.groupBy(*PAGE).agg(F.size(F.collect_set(F.when(F.col("i").isin(musts), F.col("i")))).alias("n"), no.alias("no"))
+    return met.where(f"n = {len(musts)} AND no = 0").select(*PAGE)
 
 
 def in_document_terms(pages: DataFrame, terms: tuple[Term, ...], chunks: DataFrame | None = None, vector=None, bar: float = STRICT, strict_should: bool = False) -> DataFrame:
