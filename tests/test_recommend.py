@@ -43,3 +43,19 @@ def test_floored_bookmarks_and_rebuild(spark):
     b = spark.createDataFrame([(1, 1, 0.5, T0 + dt.timedelta(days=1))], "user_id long, doc_id long, percent_complete double, ts timestamp")
     r = rebuilt([a, b]).first()
     assert (r.note_count, r.percent_complete, r.first_engaged_at) == (2, 0.5, T0)
+
+
+def test_affinities_are_made_once(spark):
+    """All tiers read the written fold of the events, so it is not made again for each."""
+    docs, authors, cats, vectors = frames(spark)
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    aff = spark.createDataFrame([(1, 1, 5.0), (2, 3, 2.0), (2, 4, 1.0)], "user_id long, doc_id long, engagement_score double")
+    users = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
+    rec.recommend(users, aff.mapInArrow(counted, aff.schema), docs, vectors, authors, cats, 3).collect()
+    assert rows.value == 3
