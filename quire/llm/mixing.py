@@ -80,7 +80,10 @@ def constant(found: DataFrame, keep: float = KEEP) -> float:
     low, high = 0.0, 1 / least  # every cell that has a weight is whole there
     while high - low > 1e-12 * high:
         trials = [low + (high - low) * i / STEPS for i in range(1, STEPS)]
-        sums = found.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(k) * F.col("weight"))) for k in trials]).first()
+        # Trials are rows: as columns, each round's literals would be new code for the driver to compile and keep.
+        tried = found.sparkSession.range(1, STEPS, 1, 1).select(F.col("id").alias("trial"), (F.lit(low) + F.lit(high - low) * F.col("id") / F.lit(STEPS)).alias("k"))
+        own = found.select("tokens", "weight").crossJoin(F.broadcast(tried)).groupBy("trial").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("k") * F.col("weight"))).alias("held"))
+        sums = [x for _, x in sorted(own.collect())]
         short = sum(x < keep * total for x in sums)
         low, high = (trials[short - 1] if short else low), (trials[short] if short < len(trials) else high)
         if low == high:
